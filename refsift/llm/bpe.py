@@ -36,6 +36,11 @@ LEXICON_WORDS = 32768
 MEMO = 200_000
 #: Code points of a text that are split at once.
 PIECE = 1 << 20
+#: Code points of texts that are encoded together.
+TOGETHER = 1 << 21
+#: Bytes of a word that is merged in the table's way; longer ones use a heap.
+SHORT = 64
+_HASH_BITS = 20
 _RARE = regex.compile(r"[^\x00-՗]")
 _SPLIT = regex.compile(PATTERN)
 
@@ -47,6 +52,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _hash(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE file."""
 
@@ -67,10 +76,69 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
 
+        left, right = (np.fromiter((p[i] for p in self.merges), np.int64, len(self.merges)) for i in (0, 1))
+        keys = left << 32 | right
+        order = np.argsort(keys)
+        self._keys = keys[order]
+        self._ranks = np.fromiter((m[0] for m in self.merges.values()), np.int64, len(keys))[order]
+        self._new = np.fromiter((m[1] for m in self.merges.values()), np.int64, len(keys))[order]
+        # A table of the keys by hash, in which a key lies at its place or soon after.
+        self._slots = np.full((1 << _HASH_BITS) + 64, -1, np.int64)
+        for i, h in enumerate(_hash(self._keys).tolist()):
+            while self._slots[h] >= 0:
+                h += 1
+            self._slots[h] = i
+        self._byte_ids = np.asarray(self.byte_ids, np.int64)
+
+    def _pairs(self, keys: np.ndarray) -> np.ndarray:
+        """The merge of each pair, -1 for none."""
+        found = np.full(len(keys), -1, np.int64)
+        at, rest = _hash(keys), np.arange(len(keys))
+        while len(rest):
+            slot = self._slots[at]
+            hit = (slot >= 0) & (self._keys[slot] == keys[rest])
+            found[rest[hit]] = slot[hit]
+            more = (slot >= 0) & ~hit
+            rest, at = rest[more], at[more] + 1
+        return found
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many short words at once, as little-endian 32-bit integers: each round
+        merges the best pair of every word that still has one."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self._byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        done_ids, done_owner = [], []
+        while len(ids):
+            inside = np.flatnonzero(owner[:-1] == owner[1:])
+            pair = self._pairs(ids[inside] << 32 | ids[inside + 1])
+            can = pair >= 0
+            place, pair = inside[can], pair[can]
+            if not len(place):
+                break
+            who = owner[place]
+            heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            best = np.minimum.reduceat(self._ranks[pair] * len(ids) + place, heads) % len(ids)
+            ids[best] = self._new[pair[np.searchsorted(place, best)]]
+            keep = np.ones(len(ids), bool)
+            keep[best + 1] = False
+            active = np.zeros(len(words), bool)
+            active[who[heads]] = True
+            active = active[owner]
+            done_ids.append(ids[~active])
+            done_owner.append(owner[~active])
+            keep &= active
+            ids, owner = ids[keep], owner[keep]
+        ids, owner = np.concatenate([*done_ids, ids]), np.concatenate([*done_owner, owner])
+        order = np.argsort(owner, kind="stable")
+        raw = ids[order].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank, leftmost first, merges until none is left."""
         ids = [self.byte_ids[b] for b in word]
-        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         while len(ids) > 1:
@@ -178,6 +246,34 @@ class Lexicon:
         self.first, self.target, self.weight, self.starts = (v.cast("I") for v in views[:4])
         self.ids, self.final, self.label_at = views[4], views[5], at - len(views[6])
 
+        labels = np.frombuffer(self.map, np.uint8, len(views[6]), self.label_at)
+        first = np.asarray(self.first)
+        self._edges = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | labels
+        self._target, self._weight = np.asarray(self.target), np.asarray(self.weight)
+        self._final = np.frombuffer(self.final, np.uint8)
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """get() of many words: all walk the automaton together, a byte a step."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(lengths) - lengths
+        state, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        live = np.flatnonzero(lengths > 0)
+        step = 0
+        while len(live):
+            key = state[live] << 8 | raw[begin[live] + step]
+            edge = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            known = self._edges[edge] == key
+            state[live[~known]] = -1
+            live, edge = live[known], edge[known]
+            number[live] += self._weight[edge]
+            state[live] = self._target[edge]
+            step += 1
+            live = live[lengths[live] > step]
+        hit = (state >= 0) & (self._final[state] == 1)
+        starts, ids = self.starts, self.ids
+        return [bytes(ids[4 * starts[n] : 4 * starts[n + 1]]) if h else None for h, n in zip(hit.tolist(), number.tolist())]
+
     def get(self, word: bytes) -> bytes | None:
         """The ids of a word as little-endian 32-bit integers, or None."""
         s = n = 0
@@ -193,62 +289,91 @@ class Lexicon:
         return bytes(self.ids[4 * self.starts[n] : 4 * self.starts[n + 1]])
 
 
-def pieces(text: str, tokenizer_path: str) -> Iterator[list[str]]:
-    """The words of a text that holds no special token, in lists.
+class Splitter:
+    """The words of texts that hold no special token.
 
     Letters and digits newer than the tokenizer library's tables are left to that library.
     """
-    if _RARE.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
-        from tokenizers import Tokenizer
-
-        split = Tokenizer.from_file(tokenizer_path).pre_tokenizer.pre_tokenize_str(text)
-        yield [text[a:b] for _, (a, b) in split]
-    elif len(text) <= PIECE:
-        yield _SPLIT.findall(text)
-    else:
-        found = (m.group() for m in _SPLIT.finditer(text))
-        while some := list(islice(found, PIECE // 4)):
-            yield some
-
-
-class _Memo(dict):
-    """ids of words as bytes: from the lexicon or by merging; forgets when full."""
-
-    def __init__(self, lookup):
-        self.lookup = lookup
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self.lookup(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+
+    def __init__(self, tokenizer_path: str):
+        self.path, self.library = tokenizer_path, None
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        if _RARE.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path).pre_tokenizer
+            yield [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+        elif len(text) <= PIECE:
+            yield _SPLIT.findall(text)
+        else:
+            found = (m.group() for m in _SPLIT.finditer(text))
+            while some := list(islice(found, PIECE // 4)):
+                yield some
 
 
 class Encoder:
-    """Encodes and decodes whole texts. lookup: gives a word's ids as bytes; by default the lexicon and merges do."""
+    """Encodes and decodes whole texts.
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, lookup=None):
-        def own(word: str) -> bytes:
-            raw = word.encode()
-            found = lexicon.get(raw) if lexicon else None
-            return np.asarray(vocabulary.merge(raw), "<u4").tobytes() if found is None else found
+    The words of some texts that aren't remembered are looked up together, in
+    the lexicon and then by merging; resolve (of words, giving their ids as
+    bytes) takes the place of both.
+    """
 
-        self.vocabulary = vocabulary
-        self.memo = _Memo(lookup or own)
-        self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, resolve=None):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.splitter = Splitter(vocabulary.path)
+        self.memo: dict[str, bytes] = {}
+        self.resolve = resolve or self._resolve
+        self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+
+    def _resolve(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
+        short = [i for i, x in enumerate(found) if x is None and len(raw[i]) <= SHORT]
+        for i, x in zip(short, self.vocabulary.merge_all([raw[i] for i in short]) if short else ()):
+            found[i] = x
+        return [np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for r, x in zip(raw, found)]
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        unknown = list(set().union(*lists).difference(self.memo))
+        if unknown:
+            if len(self.memo) > MEMO:
+                self.memo = {}
+                unknown = list(set().union(*lists))
+            self.memo.update(zip(unknown, self.resolve(unknown)))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
+
+    def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit integers, in order."""
+        waiting: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if self.special is not None and self.special.search(text):
+                yield from self._flush(waiting)
+                waiting, size = [], 0
+                parts = self.special.split(text)
+                ids = [self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in enumerate(parts)]
+                yield b"".join(ids)
+            elif len(text) > PIECE:
+                yield from self._flush(waiting)
+                waiting, size = [], 0
+                yield b"".join(self._ids([some])[0] for some in self.splitter.pieces(text))
+            else:
+                waiting += self.splitter.pieces(text)
+                size += len(text)
+                if size >= TOGETHER:
+                    yield from self._flush(waiting)
+                    waiting, size = [], 0
+        yield from self._flush(waiting)
+
+    def _flush(self, waiting: list[list[str]]) -> list[bytes]:
+        return self._ids(waiting) if waiting else []
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        special = self.special
-        if special is None or not special.search(text):
-            return b"".join(b"".join(map(self.memo.__getitem__, some)) for some in pieces(text, self.vocabulary.path))
-        out, at = [], 0
-        for m in special.finditer(text):
-            out += [self.encode(text[at : m.start()]), self.vocabulary.special[m.group()].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self.encode(text[at:])])
+        return next(self.encode_all(iter([text])))
 
     def decode(self, ids: bytes) -> str:
         get = self.vocabulary.bytes_of.__getitem__
@@ -277,12 +402,12 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
     """word, n of all words in all whole texts; counted in each task before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = SparkFiles.get(model)
+        splitter = Splitter(SparkFiles.get(model))
         seen: Counter = Counter()
         take = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
         for batch in batches:
             for text in batch.column(0):
-                for some in pieces(text.as_py() or "", path):
+                for some in splitter.pieces(text.as_py() or ""):
                     seen.update(some)
                 if len(seen) > MEMO:
                     yield take()
@@ -330,8 +455,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_words: in
         encoder = Encoder(Vocabulary(SparkFiles.get(model)), Lexicon(SparkFiles.get(lexicon)))
         for batch in batches:
             n, hashes, texts, kept, back = [], [], [], [], []
-            for text in batch.column(1):
-                found = encoder.encode(text.as_py() or "")
+            for found in encoder.encode_all(text.as_py() or "" for text in batch.column(1)):
                 decoded = encoder.decode(found)
                 n.append(len(found) // 4)
                 hashes.append(hashlib.sha256(found).hexdigest())

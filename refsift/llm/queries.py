@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import bpe, exact, langid, mixing, pii
 from .common import table
 
 
@@ -13,14 +13,32 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each document."""
+    return pii.find(table(spark, sf_dir, "documents")).drop("scores")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded with a public vocabulary and decoded again."""
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document, and whether it stays."""
     return exact.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_personal_data": op3_personal_data,
+    "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_language": op9_language,
 }
 
 ORACLES = {
