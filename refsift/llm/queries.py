@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, mixing, pii
+from . import bpe, exact, langid, mixing, pii, simhash
 from .common import table
 
 
@@ -33,12 +33,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and near-duplicate component of each document."""
+    return simhash.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_personal_data": op3_personal_data,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_language": op9_language,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
