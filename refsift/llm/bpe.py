@@ -26,14 +26,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, shared_dir
 
 #: The splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon.
 LEXICON_WORDS = 32768
-#: Words that a worker remembers or counts at once.
-MEMO = 200_000
+#: Chunks of text that a worker remembers or counts at once.
+MEMO = 400_000
 #: Code points of a text that are split at once.
 PIECE = 1 << 20
 #: Code points of texts that are encoded together.
@@ -41,6 +41,7 @@ TOGETHER = 1 << 21
 #: Bytes of a word that is merged in the table's way; longer ones use a heap.
 SHORT = 64
 _HASH_BITS = 20
+_BLANK = regex.compile(r"\s")
 _RARE = regex.compile(r"[^\x00-՗]")
 _SPLIT = regex.compile(PATTERN)
 
@@ -313,64 +314,106 @@ class Splitter:
                 yield some
 
 
+def chunks(text: str) -> list[str]:
+    """Cut a text where words always end: before a line feed or single space between other characters.
+
+    The first chunk is marked by a space in front; a chunk that begins with a
+    line feed is itself; any other is preceded by a space in the text.
+    """
+    found = text.replace("\n", " \n").split(" ")
+    found[0] = " " + found[0]
+    return found
+
+
+def spelled(chunk: str) -> str | None:
+    """The characters of a chunk; None if it touches further white space, so that its words depend on its neighbours."""
+    if chunk[:1] == " ":
+        body = word = chunk[1:]
+    elif chunk[:1] == "\n":
+        body, word = chunk[1:], chunk
+        if not body:
+            return None
+    else:
+        body, word = chunk, " " + chunk
+        if not body:
+            return None
+    return None if body and (_BLANK.match(body[0]) or _BLANK.match(body[-1])) else word
+
+
 class Encoder:
     """Encodes and decodes whole texts.
 
-    The words of some texts that aren't remembered are looked up together, in
-    the lexicon and then by merging; resolve (of words, giving their ids as
-    bytes) takes the place of both.
+    Texts are cut in chunks, whose ids are remembered. The words of chunks that
+    aren't are looked up together, in the lexicon and then by merging; resolve
+    (of strings, giving their ids as bytes) takes the place of both.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, resolve=None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.splitter = Splitter(vocabulary.path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | None] = {}
         self.resolve = resolve or self._resolve
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
-    def _resolve(self, words: list[str]) -> list[bytes]:
+    def _resolve(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, by their words."""
+        split = [[w for some in self.splitter.pieces(t) for w in some] for t in texts]
+        words = list(set().union(*split))
         raw = [w.encode() for w in words]
         found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
         short = [i for i, x in enumerate(found) if x is None and len(raw[i]) <= SHORT]
         for i, x in zip(short, self.vocabulary.merge_all([raw[i] for i in short]) if short else ()):
             found[i] = x
-        return [np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for r, x in zip(raw, found)]
-
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
-        unknown = list(set().union(*lists).difference(self.memo))
-        if unknown:
-            if len(self.memo) > MEMO:
-                self.memo = {}
-                unknown = list(set().union(*lists))
-            self.memo.update(zip(unknown, self.resolve(unknown)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        ids = {w: np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for w, r, x in zip(words, raw, found)}
+        return [b"".join([ids[w] for w in some]) for some in split]
+
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Remember the ids of all chunks in lists."""
+        unknown = set().union(*lists).difference(self.memo)
+        if len(self.memo) + len(unknown) > MEMO and self.memo:
+            self.memo = {}
+            unknown = set().union(*lists)
+        known = [(c, w) for c in unknown if (w := spelled(c)) is not None]
+        self.memo.update(dict.fromkeys(unknown))
+        self.memo.update(zip([c for c, _ in known], self.resolve([w for _, w in known])))
+
+    def _join(self, some: list[str], text: str) -> bytes:
+        try:
+            return b"".join(map(self.memo.__getitem__, some))
+        except TypeError:  # white space that isn't single
+            words = list(self.splitter.pieces(text))
+            every = list(set().union(*words))
+            ids = dict(zip(every, self.resolve(every)))
+            return b"".join([b"".join(map(ids.__getitem__, part)) for part in words])
 
     def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers, in order."""
-        waiting: list[list[str]] = []
+        waiting: list[str] = []
         size = 0
         for text in texts:
-            if self.special is not None and self.special.search(text):
+            special = self.special is not None and any(x in text for x in self.vocabulary.special)
+            if special or len(text) > PIECE:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
-                parts = self.special.split(text)
-                ids = [self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in enumerate(parts)]
-                yield b"".join(ids)
-            elif len(text) > PIECE:
+                if special:
+                    parts = self.special.split(text)
+                    yield b"".join([self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in enumerate(parts)])
+                else:
+                    yield b"".join(self._flush([part])[0] for part in _parts(text))
+                continue
+            waiting.append(text)
+            size += len(text)
+            if size >= TOGETHER:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
-                yield b"".join(self._ids([some])[0] for some in self.splitter.pieces(text))
-            else:
-                waiting += self.splitter.pieces(text)
-                size += len(text)
-                if size >= TOGETHER:
-                    yield from self._flush(waiting)
-                    waiting, size = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, waiting: list[list[str]]) -> list[bytes]:
-        return self._ids(waiting) if waiting else []
+    def _flush(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        lists = [chunks(t) for t in texts]
+        self._learn(lists)
+        return [self._join(some, t) for some, t in zip(lists, texts)]
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(iter([text])))
@@ -381,6 +424,20 @@ class Encoder:
         return b"".join(b"".join(map(get, words[i : i + PIECE].tolist())) for i in range(0, len(words), PIECE)).decode("utf-8", "replace")
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut at single spaces, about PIECE apart; each part but the first begins with one."""
+    at = 0
+    while True:
+        end = text.find(" ", at + PIECE)
+        while 0 < end < len(text) - 1 and (_BLANK.match(text[end - 1]) or _BLANK.match(text[end + 1])):
+            end = text.find(" ", end + 1)
+        if end < 0 or end >= len(text) - 1:
+            yield text[at:]
+            return
+        yield text[at:end]
+        at = end
+
+
 def ship(spark: SparkSession, path: str) -> str:
     """Give a file to all executors; returns the name to open it by."""
     spark.sparkContext.addFile(path)
@@ -403,26 +460,62 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(SparkFiles.get(model))
-        seen: Counter = Counter()
-        take = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        seen: Counter = Counter()  # of chunks
+        words: Counter = Counter()
+
+        def split() -> None:
+            for chunk, n in seen.items():
+                for some in splitter.pieces(spelled(chunk)):
+                    for w in some:
+                        words[w] += n
+            seen.clear()
+
+        def take() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            words.clear()
+            return batch
+
         for batch in batches:
             for text in batch.column(0):
-                for some in splitter.pieces(text.as_py() or ""):
+                for part in _parts(text.as_py() or ""):
+                    some = chunks(part)
+                    before = len(seen)
                     seen.update(some)
+                    new = list(islice(reversed(seen), len(seen) - before)) if len(seen) > before else []
+                    if any(spelled(c) is None for c in new):
+                        # White space that isn't single: count the words of the whole part.
+                        seen.subtract(some)
+                        for c in new:
+                            del seen[c]
+                        for words_of in splitter.pieces(part):
+                            words.update(words_of)
                 if len(seen) > MEMO:
+                    split()
+                if len(words) > MEMO:
                     yield take()
-                    seen.clear()
-        if seen:
+        split()
+        if words:
             yield take()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words of docs and ship them; returns the file's name."""
+    """Compile the most frequent words of docs, at most so many, and ship them; returns the file's name."""
     spark = docs.sparkSession
     model = ship(spark, tokenizer_path)
-    top = word_counts(docs, model).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(words).collect()
+    # A word that occurs once gains nothing. The table of counts stays distributed; a histogram
+    # over steps of an eighth of a power of two tells which counts make up the words wanted.
+    counts = cut(word_counts(docs, model).where((F.col("n") > 1) & (F.length("word") <= SHORT)))
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    floor, found = 0, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        found += r["count"]
+        floor = r["step"]
+        if found > words:
+            floor += 1
+            break
+    top = counts.where(step >= floor).collect()
     vocabulary = Vocabulary(tokenizer_path)
     return publish(spark, compile_lexicon({w: vocabulary.merge(w) for w in (r["word"].encode() for r in top)}), "lexicon")
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, mixing, pii, simhash
+from . import bpe, exact, langid, mixing, pii, simhash, tokens
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    return tokens.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_token_files": op8_token_files,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
