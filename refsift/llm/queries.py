@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, mixing, pii, simhash, tokens
+from . import bpe, exact, langid, mixing, pii, quality, simhash, tokens
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of each document and the verdict of the learned decision list."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in each document."""
     return pii.find(table(spark, sf_dir, "documents")).drop("scores")
@@ -45,6 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
