@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, mixing, pii, quality, simhash, tokens
+from . import bpe, exact, langid, mixing, pii, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the passages that occur elsewhere."""
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document, and whether it stays."""
     return exact.assign(table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
     "op4_bpe": op4_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
