@@ -9,6 +9,7 @@ from Spark and map into memory. Words it lacks are merged exactly by rank.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -38,10 +39,13 @@ MEMO = 400_000
 PIECE = 1 << 20
 #: Code points of texts that are encoded together.
 TOGETHER = 1 << 21
+#: New chunks that are looked up together.
+GROUP = 1 << 15
 #: Bytes of a word that is merged in the table's way; longer ones use a heap.
 SHORT = 64
 _HASH_BITS = 20
 _BLANK = regex.compile(r"\s")
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if _BLANK.match(c))
 _RARE = regex.compile(r"[^\x00-՗]")
 _SPLIT = regex.compile(PATTERN)
 
@@ -326,65 +330,87 @@ def chunks(text: str) -> list[str]:
 
 
 def spelled(chunk: str) -> str | None:
-    """The characters of a chunk; None if it touches further white space, so that its words depend on its neighbours."""
-    if chunk[:1] == " ":
-        body = word = chunk[1:]
-    elif chunk[:1] == "\n":
-        body, word = chunk[1:], chunk
-        if not body:
-            return None
-    else:
-        body, word = chunk, " " + chunk
-        if not body:
-            return None
-    return None if body and (_BLANK.match(body[0]) or _BLANK.match(body[-1])) else word
+    """A chunk with the character before it, a line feed for the first one; None if it touches
+    further white space, so that its words depend on its neighbours."""
+    first = chunk[:1]
+    body = chunk[1:] if first in (" ", "\n") else chunk
+    if not body:
+        return "\n" if first == " " else None
+    if body[0] in _BLANKS or body[-1] in _BLANKS:
+        return None
+    return "\n" + body if first in (" ", "\n") else " " + body
+
+
+def regrouped(ids: bytes, id_bytes, lengths, ends) -> list[bytes]:
+    """Cut ids, given as tokens or words with the bytes of their ids and their lengths, where strings of other lengths end."""
+    at = np.cumsum(np.fromiter(lengths, np.int64))
+    cuts = np.searchsorted(at, np.cumsum(np.fromiter(ends, np.int64)))
+    size = np.cumsum(np.fromiter(id_bytes, np.int64))[cuts].tolist()
+    return [ids[a:b] for a, b in zip([0, *size], size)]
 
 
 class Encoder:
     """Encodes and decodes whole texts.
 
     Texts are cut in chunks, whose ids are remembered. The words of chunks that
-    aren't are looked up together, in the lexicon and then by merging; resolve
-    (of strings, giving their ids as bytes) takes the place of both.
+    aren't are looked up together, in the lexicon and then by merging. resolve
+    (of spelled chunks, giving the ids of each as bytes) and uncut (of a text)
+    take the place of both.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, resolve=None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, resolve=None, uncut=None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.splitter = Splitter(vocabulary.path)
         self.memo: dict[str, bytes | None] = {}
-        self.resolve = resolve or self._resolve
+        self.again: set[str] = set()
+        self.resolve, self.uncut = resolve or self._resolve, uncut or self._uncut
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
-    def _resolve(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts, by their words."""
-        split = [[w for some in self.splitter.pieces(t) for w in some] for t in texts]
-        words = list(set().union(*split))
-        raw = [w.encode() for w in words]
+    def _resolve(self, chunks: list[str]) -> list[bytes]:
+        """The ids of spelled chunks, by their words."""
+        words = [w for some in self.splitter.pieces("".join(chunks)) for w in some]
+        every = list(set(words))
+        raw = [w.encode() for w in every]
         found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
         short = [i for i, x in enumerate(found) if x is None and len(raw[i]) <= SHORT]
         for i, x in zip(short, self.vocabulary.merge_all([raw[i] for i in short]) if short else ()):
             found[i] = x
-        ids = {w: np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for w, r, x in zip(words, raw, found)}
-        return [b"".join([ids[w] for w in some]) for some in split]
+        ids = {w: np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for w, r, x in zip(every, raw, found)}
+        out = [ids[w] for w in words]
+        return regrouped(b"".join(out), map(len, out), map(len, words), map(len, chunks))
 
     def _learn(self, lists: list[list[str]]) -> None:
-        """Remember the ids of all chunks in lists."""
-        unknown = set().union(*lists).difference(self.memo)
-        if len(self.memo) + len(unknown) > MEMO and self.memo:
-            self.memo = {}
-            unknown = set().union(*lists)
+        """Remember the ids of all chunks in lists. When memory is full, those that were never seen again go."""
+        seen = set().union(*lists)
+        unknown = seen.difference(self.memo)
+        self.again |= seen.difference(unknown)
+        if len(self.memo) + len(unknown) > MEMO:
+            kept = self.again if len(self.again) + len(unknown) <= MEMO * 3 // 4 else seen.difference(unknown)
+            self.memo = {c: self.memo[c] for c in kept}
+            self.again = set()
         known = [(c, w) for c in unknown if (w := spelled(c)) is not None]
         self.memo.update(dict.fromkeys(unknown))
-        self.memo.update(zip([c for c, _ in known], self.resolve([w for _, w in known])))
+        for at in range(0, len(known), GROUP):
+            some = known[at : at + GROUP]
+            for (c, _), ids in zip(some, self.resolve([w for _, w in some])):
+                # The line feed in front of a text's first chunk isn't part of it.
+                self.memo[c] = ids[4:] if c[0] == " " else ids
 
     def _join(self, some: list[str], text: str) -> bytes:
         try:
             return b"".join(map(self.memo.__getitem__, some))
         except TypeError:  # white space that isn't single
-            words = list(self.splitter.pieces(text))
-            every = list(set().union(*words))
-            ids = dict(zip(every, self.resolve(every)))
-            return b"".join([b"".join(map(ids.__getitem__, part)) for part in words])
+            return self.uncut(text)
+
+    def _uncut(self, text: str) -> bytes:
+        out = []
+        for words in self.splitter.pieces(text):
+            every = list(set(words))
+            raw = [w.encode() for w in every]
+            found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
+            ids = {w: np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for w, r, x in zip(every, raw, found)}
+            out += map(ids.__getitem__, words)
+        return b"".join(out)
 
     def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers, in order."""
@@ -438,6 +464,12 @@ def _parts(text: str) -> Iterator[str]:
         at = end
 
 
+@functools.lru_cache(4)
+def encoder(model: str, lexicon: str) -> Encoder:
+    """The encoder of a worker process for files that were shipped; its memory lasts over tasks."""
+    return Encoder(Vocabulary(SparkFiles.get(model)), Lexicon(SparkFiles.get(lexicon)))
+
+
 def ship(spark: SparkSession, path: str) -> str:
     """Give a file to all executors; returns the name to open it by."""
     spark.sparkContext.addFile(path)
@@ -466,7 +498,8 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
         def split() -> None:
             for chunk, n in seen.items():
                 for some in splitter.pieces(spelled(chunk)):
-                    for w in some:
+                    # The line feed in front of a text's first chunk isn't part of it.
+                    for w in some[1:] if chunk[0] == " " else some:
                         words[w] += n
             seen.clear()
 
@@ -545,11 +578,11 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_words: in
     model = ship(spark, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(SparkFiles.get(model)), Lexicon(SparkFiles.get(lexicon)))
+        coder = encoder(model, lexicon)
         for batch in batches:
             n, hashes, texts, kept, back = [], [], [], [], []
-            for found in encoder.encode_all(text.as_py() or "" for text in batch.column(1)):
-                decoded = encoder.decode(found)
+            for found in coder.encode_all(text.as_py() or "" for text in batch.column(1)):
+                decoded = coder.decode(found)
                 n.append(len(found) // 4)
                 hashes.append(hashlib.sha256(found).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest())

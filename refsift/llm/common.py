@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,11 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find that jobs which have ended need their shuffle files no more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Like cut(), as a Parquet table, for tables of which readers need a few columns."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path)
 
 

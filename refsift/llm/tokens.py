@@ -14,9 +14,9 @@ checksum (u32), states (u64 a lane); the stream (u32).
 """
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, shared_dir, stored, whole
+from .common import release, shared_dir, stored, whole
 
 #: Frequencies add up to two to the SCALE.
 SCALE = 20
@@ -35,7 +35,7 @@ LANES = 512
 CHECKPOINT = 256
 #: Ids after which a block ends with the current document.
 BLOCK = 1 << 18
-#: Ids of a file, about.
+#: Ids after which a file ends.
 FILE = 1 << 24
 END = 0
 MAGIC, BLOCK_MAGIC = b"RSTOKEN1", 0x4B4C4252
@@ -150,6 +150,7 @@ def blocks(raw: bytes) -> Iterator[memoryview]:
         at += size
 
 
+@functools.lru_cache(2)
 def library_encoder(path: str) -> bpe.Encoder:
     """An encoder whose new chunks of text are encoded by the tokenizers library."""
     from tokenizers import Tokenizer
@@ -157,38 +158,63 @@ def library_encoder(path: str) -> bpe.Encoder:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
+    vocabulary = bpe.Vocabulary(path)
+    length = np.zeros(max(vocabulary.bytes_of) + 1, np.int64)
+    for i, b in vocabulary.bytes_of.items():
+        length[i] = len(b)
 
-    def resolve(texts: list[str]) -> list[bytes]:
-        return [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    def resolve(chunks: list[str]) -> list[bytes]:
+        # Words never cross chunks, so some can be encoded as one text and cut where their bytes end.
+        texts = ["".join(chunks[i : i + 50]) for i in range(0, len(chunks), 50)]
+        found = library.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        ends = [len(c) if c.isascii() else len(c.encode()) for c in chunks]
+        return bpe.regrouped(ids.tobytes(), np.full(len(ids), 4), length[ids], ends)
 
-    return bpe.Encoder(bpe.Vocabulary(path), resolve=resolve)
+    def uncut(text: str) -> bytes:
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return bpe.Encoder(vocabulary, resolve=resolve, uncut=uncut)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id and ids (binary, 32-bit) of every row; id END ends each document."""
-    model = bpe.ship(docs.sparkSession, tokenizer_path)
+    """part, seq, doc_id and ids of every row, in ascending order of doc_id by part, then seq.
+
+    ids is binary, 16 bits each if the vocabulary allows, and 32 bits if not; id END ends each document.
+    """
+    spark = docs.sparkSession
+    model = bpe.ship(spark, tokenizer_path)
+    kind = id_type(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(SparkFiles.get(model))
-        end = END.to_bytes(4, "little")
+        coder = library_encoder(SparkFiles.get(model))
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            found = list(encoder.encode_all(t.as_py() for t in batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in found], pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+            found = [np.append(np.frombuffer(x, "<u4"), END).astype(kind).tobytes() for x in coder.encode_all(t.as_py() for t in batch.column(1))]
+            numbers = np.arange(seq, seq + len(found))
+            seq += len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part)), pa.array(numbers), batch.column(0), pa.array(found, pa.binary())], ["part", "seq", "doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "part long, seq long, doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> dict[int, int]:
+def id_type(tokenizer_path: str) -> str:
+    return "<u2" if max(bpe.Vocabulary(tokenizer_path).bytes_of) < 1 << 16 else "<u4"
+
+
+def count_ids(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs in all documents; as many rows as the vocabulary has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+            got = np.bincount(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in batch.column(0)]))
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -196,53 +222,66 @@ def count_ids(tokens: DataFrame) -> dict[int, int]:
     return {r["id"]: r["n"] for r in rows.collect()}
 
 
-def write(tokens: DataFrame, where: str, table: Table, total: int) -> DataFrame:
-    """Write tokens (doc_id, ids) as token files below where, in ascending order of doc_id, nulls first.
+class _File:
+    """A token file that is written under a name of its own and then renamed, so a task that runs again leaves the same file."""
+
+    def __init__(self, system, folder: str, part: int, seq: int, table: Table):
+        self.system, self.table, self.part, self.seq = system, table, part, seq
+        self.name, self.draft = f"{folder}/{part:08d}-{seq:012d}.rans", f"{folder}/.{uuid.uuid4().hex}"
+        self.out = system.open_output_stream(self.draft)
+        self.out.write(MAGIC)
+        self.doc_ids, self.parts, self.size, self.docs, self.ids = [], [], 0, 0, 0
 
-    A task writes one file under a name of its own and then renames it, so a
-    task that is run again leaves the same file. Returns file (its number), documents and ids of each.
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
+        self.parts.append(ids)
+        self.size += len(ids)
+        if self.size >= BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.parts:
+            self.out.write(pack_block(self.doc_ids, self.parts, self.table))
+            self.docs, self.ids = self.docs + len(self.doc_ids), self.ids + self.size
+            self.doc_ids, self.parts, self.size = [], [], 0
+
+    def close(self) -> tuple[int, int, int, int]:
+        self.flush()
+        self.out.close()
+        self.system.move(self.draft, self.name)
+        return self.part, self.seq, self.docs, self.ids
+
+
+def write(tokens: DataFrame, where: str, table: Table, kind: str) -> list:
+    """Write a table of tokenise() as token files below where; returns part, seq (of the first document), documents and ids of each.
+
+    A file holds documents that follow each other; its name begins with their place.
     """
-    spark = tokens.sparkSession
-    shared = spark.sparkContext.broadcast(table)  # of the vocabulary's size
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE))
+    shared = tokens.sparkSession.sparkContext.broadcast(table)  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(where)
-        number = TaskContext.get().partitionId()
-        name, draft = f"{folder}/{number:08d}.rans", f"{folder}/.{uuid.uuid4().hex}"
-        doc_ids, parts, size, docs, ids = [], [], 0, 0, 0
-        with system.open_output_stream(draft) as out:
-            out.write(MAGIC)
-            for batch in batches:
-                for d, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    doc_ids.append(d)
-                    # A copy, so that the batch can go.
-                    parts.append(np.frombuffer(x.as_buffer(), "<u4").copy())
-                    size += len(parts[-1])
-                    if size >= BLOCK:
-                        out.write(pack_block(doc_ids, parts, shared.value))
-                        docs, ids = docs + len(doc_ids), ids + size
-                        doc_ids, parts, size = [], [], 0
-            if parts:
-                out.write(pack_block(doc_ids, parts, shared.value))
-                docs, ids = docs + len(doc_ids), ids + size
-        if docs:
-            system.move(draft, name)
-        else:
-            system.delete_file(draft)
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([docs]), pa.array([ids])], ["file", "documents", "ids"])
-
-    ordered = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids")
-    return cut(ordered.mapInArrow(run, "file long, documents long, ids long"))
+        done, file, follows = [], None, None
+        for batch in batches:
+            for part, seq, doc_id, x in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+                if (part, seq) != follows or file.ids >= FILE:
+                    done += [file.close()] if file else []
+                    file = _File(system, folder, part, seq, shared.value)
+                file.add(doc_id, np.frombuffer(x.as_buffer(), kind).astype(np.uint32))
+                follows = (part, seq + 1)
+        done += [file.close()] if file else []
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(4)], ["part", "seq", "documents", "ids"])
+
+    return tokens.mapInArrow(run, "part long, seq long, documents long, ids long").collect()
 
 
 def read(spark, where: str, table: Table, index: list) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the files below where."""
     starts, at = {}, 0
-    for r in sorted(index, key=lambda r: r["file"]):
-        starts[r["file"]] = at
+    for r in sorted(index, key=lambda r: (r["part"], r["seq"])):
+        starts[f"{r['part']:08d}-{r['seq']:012d}.rans"] = at
         at += r["ids"]
     shared = spark.sparkContext.broadcast((table, starts))
 
@@ -250,7 +289,7 @@ def read(spark, where: str, table: Table, index: list) -> DataFrame:
         table, starts = shared.value
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                start = starts[int(path.rpartition("/")[2].partition(".")[0])]
+                start = starts[path.rpartition("/")[2]]
                 for block in blocks(raw.as_buffer()):
                     doc_ids, lengths, ids = unpack_block(block, table)
                     ends = np.cumsum(lengths)
@@ -262,7 +301,7 @@ def read(spark, where: str, table: Table, index: list) -> DataFrame:
                     )
                     start += len(ids)
 
-    if not any(r["documents"] for r in index):
+    if not index:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(where).select("path", "content")
     return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -281,11 +320,12 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None, where: str |
     """
     spark = docs.sparkSession
     where = where or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    tokens = stored(tokenise(docs, bpe.tokenizer(tokenizer_path)), "ids")
-    counts = count_ids(tokens)
-    table = Table(counts)
+    tokenizer_path = bpe.tokenizer(tokenizer_path)
+    kind = id_type(tokenizer_path)
+    tokens = stored(tokenise(docs, tokenizer_path), "ids", compression="zstd")
+    release(spark)
+    table = Table(count_ids(tokens, kind))
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    index = write(tokens, where, table, sum(counts.values())).where("documents > 0").collect()
-    return read(spark, where, table, index)
+    return read(spark, where, table, write(tokens, where, table, kind))
