@@ -7,11 +7,13 @@ bucket of that minimiser; equal windows meet there, because their minimisers
 are equal, and sorting counts them exactly.
 
 Three things keep this small. A minimiser that occurs once can't have a window
-that occurs twice, so a bitmap of fixed size, set for repeated minimisers, lets
-packed strings of others stay at home (bits that coincide cost work, not
-results). Equal packed strings, as copies of a document have, are counted
-within tasks and then travel once. A minimiser with over HOT different packed
-strings has its windows spread one by one by their digests.
+that occurs twice. One whose packed strings are all equal, as copies of a
+document have, needs no comparison: all its windows are repeated. So strings
+travel only for minimisers with different strings; bitmaps of fixed size tell
+which those are (bits that coincide cost work, not results; the count itself is
+looked up exactly). A task sends a string once, and equal strings of several
+tasks are merged before they go to their bucket. A minimiser with over HOT
+different strings has its windows spread one by one by their digests.
 """
 from __future__ import annotations
 
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole
+from .common import release, stored, whole
 
 WINDOW, GRAM = 35, 8
-#: Bits of the map of repeated minimisers, as a power of two: 32 MB, at any size of the data.
+#: Bits of a map of minimisers, as a power of two: 32 MB, at any size of the data.
 MAP_BITS = 28
 _SLICE_BITS = 20
 HOT = 1000
+#: Digests of strings that a task remembers to have sent.
+SENT = 500_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _A, _B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -102,17 +106,41 @@ def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes, np.n
                 yield i, raw, starts, ends
 
 
+def _strings(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """The packed strings of super-k-mers: their words, joined by one space."""
+    line = b" ".join(raw.split())
+    at = np.r_[0, np.cumsum(ends - starts + 1)]
+    return [line[a:b] for a, b in zip(at[first].tolist(), (at[first + count + WINDOW - 1] - 1).tolist())]
+
+
 def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """minimiser, and the halves of the digest of its string, of every super-k-mer; equal rows of a batch are one."""
+    import xxhash
+
     for batch in batches:
-        found = [super_kmers(raw, s, e)[2] for _, raw, s, e in _rows(batch, 0)]
+        found, digests = [], []
+        for _, raw, s, e in _rows(batch, 0):
+            first, count, minimiser = super_kmers(raw, s, e)
+            found.append(minimiser)
+            digests += map(xxhash.xxh3_128_digest, _strings(raw, s, e, first, count))
         if found:
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["minimiser", "n"])
+            rows = np.c_[np.concatenate(found), np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)]
+            rows = rows[np.lexsort(rows.T[::-1])]
+            lo, hi = _runs_of(rows)
+            rows = rows[lo].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(hi - lo)], ["minimiser", "a", "b", "n"])
 
 
-def repeated_map(docs: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """The bitmap of minimisers that occur twice or more in docs."""
-    found = docs.select("text").mapInArrow(_minimisers, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1")
+def minimisers(docs: DataFrame) -> DataFrame:
+    """minimiser and varied (whether its packed strings differ) of those that occur twice or more; a written table."""
+    found = docs.select("text").mapInArrow(_minimisers, "minimiser long, a long, b long, n long").groupBy("minimiser").agg(
+        F.sum("n").alias("n"), *[f(c).alias(f"{c}{k}") for c in "ab" for k, f in enumerate((F.min, F.max))]
+    )
+    return stored(found.where("n > 1").select("minimiser", F.expr("a0 <> a1 or b0 <> b1").alias("varied")), "minimisers")
+
+
+def bitmap(found: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A bitmap of the minimisers in found, made in slices."""
     place = F.shiftrightunsigned("minimiser", 64 - bits)
     part = min(_SLICE_BITS, bits)
 
@@ -120,9 +148,8 @@ def repeated_map(docs: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
         current, bitmap = None, None
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([current]), pa.array([np.packbits(bitmap).tobytes()])], ["slice", "bits"])
         for batch in batches:
-            places = batch.column(1).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in zip(*_runs(ids)):
+            ids, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for lo, hi in zip(*_runs_of(ids[:, None])):
                 if ids[lo] != current:
                     if current is not None:
                         yield pack()
@@ -139,53 +166,63 @@ def repeated_map(docs: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
     return out
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
-    return edge, np.r_[edge[1:], len(values)] if len(values) else edge
+def _runs_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal rows."""
+    edge = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    return edge, np.r_[edge[1:], len(rows)]
 
 
-def pack(docs: DataFrame, bitmap: np.ndarray, bits: int = MAP_BITS) -> DataFrame:
-    """doc_id, h, first (window), minimiser, digest and packed of the super-k-mers whose minimiser may be repeated."""
+def pack(docs: DataFrame, repeated: np.ndarray, varied: np.ndarray, bits: int = MAP_BITS) -> DataFrame:
+    """doc_id, h, first and count (of windows), minimiser, digest and packed of the super-k-mers whose minimiser may be repeated.
+
+    digest is null unless its strings may differ, and packed is null, too, where the task has sent it before.
+    """
     import xxhash
 
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast((repeated, varied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        maps = shared.value
+        sent: set[bytes] = set()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             size = 0
             for i, raw, starts, ends in _rows(batch, 2):
                 first, count, minimiser = super_kmers(raw, starts, ends)
                 place = minimiser >> np.uint64(64 - bits)
-                hit = np.flatnonzero(known[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1)
-                if not len(hit):
+                byte, bit = place >> np.uint64(3), (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)
+                again, differ = (m[byte] >> bit & 1 == 1 for m in maps)
+                again |= differ
+                if not again.any():
                     continue
-                words = raw.split()
-                line = b" ".join(words)
-                at = np.r_[0, np.cumsum(ends - starts + 1)]
-                first, last = first[hit], first[hit] + count[hit] + WINDOW - 1
-                packed = [line[a:b] for a, b in zip(at[first].tolist(), (at[last] - 1).tolist())]
-                out[0] += [i] * len(hit)
-                out[1] += first.tolist()
-                out[2] += minimiser[hit].view(np.int64).tolist()
-                out[3] += [xxhash.xxh3_128_digest(p) for p in packed]
-                out[4] += packed
+                first, count, minimiser, differ = first[again], count[again], minimiser[again], differ[again]
+                digests, packed = [None] * len(first), [None] * len(first)
+                at = np.flatnonzero(differ).tolist()
+                for k, p in zip(at, _strings(raw, starts, ends, first[differ], count[differ])):
+                    digests[k] = d = xxhash.xxh3_128_digest(p)
+                    if d not in sent:
+                        sent.add(d)
+                        packed[k] = p
+                for column, values in zip(out, ([i] * len(first), first.tolist(), count.tolist(), minimiser.view(np.int64).tolist(), digests, packed)):
+                    column += values
                 size += len(raw)
+                if len(sent) > SENT:
+                    sent = set()
                 if size > 1 << 22:
                     yield _packed(batch, out)
-                    out, size = [[], [], [], [], []], 0
+                    out, size = [[], [], [], [], [], []], 0
             if out[0]:
                 yield _packed(batch, out)
 
-    schema = "doc_id long, h long, first int, minimiser long, digest binary, packed binary"
+    schema = "doc_id long, h long, first int, count int, minimiser long, digest binary, packed binary"
     return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
 
 
 def _packed(batch: pa.RecordBatch, out: list[list]) -> pa.RecordBatch:
     rows = pa.array(out[0])
-    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2]), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "first", "minimiser", "digest", "packed"])
+    columns = [batch.column(0).take(rows), batch.column(1).take(rows)]
+    columns += [pa.array(x, t) for x, t in zip(out[1:], (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "first", "count", "minimiser", "digest", "packed"])
 
 
 def _windows(packed: bytes) -> list[bytes]:
@@ -231,7 +268,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(found: list[tuple[bytes, list[int]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([p for _, p in found], pa.list_(pa.int32()))], ["digest", "places"])
+    """digest, and the windows as spans (first and last)."""
+    spans = []
+    for _, places in found:
+        edge = [i for i in range(1, len(places)) if places[i] != places[i - 1] + 1]
+        spans.append([{"lo": places[a], "hi": places[b - 1]} for a, b in zip([0, *edge], [*edge, len(places)])])
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array(spans, kind)], ["digest", "spans"])
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +292,15 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.int32()), pa.array(windows, pa.binary()), pa.array(times, pa.int64())], ["digest", "place", "window", "n"])
 
 
-def repeats(packed: DataFrame) -> DataFrame:
-    """digest and places (of its windows that occur elsewhere) of packed strings; packed is a written table."""
-    distinct = packed.groupBy("minimiser", "digest", "packed").agg(F.count("*").alias("n"))
+def repeats(distinct: DataFrame) -> DataFrame:
+    """digest and spans (of its windows that occur elsewhere) of a written table of different packed strings (minimiser, digest, n, packed)."""
     hot = distinct.groupBy("minimiser").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("minimiser")
     cold = distinct.join(hot, "minimiser", "left_anti").select("minimiser", "digest", "n", "packed")
-    cold = cold.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count, "digest binary, places array<int>")
+    cold = cold.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count, "digest binary, spans array<struct<lo:int,hi:int>>")
     spread = distinct.join(hot, "minimiser", "left_semi").select("digest", "n", "packed").mapInArrow(_single, "digest binary, place int, window binary, n long")
     again = spread.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    spread = spread.join(again, "window", "left_semi").groupBy("digest").agg(F.collect_list("place").alias("places"))
+    span = F.struct(F.col("place").alias("lo"), F.col("place").alias("hi"))
+    spread = spread.join(again, "window", "left_semi").groupBy("digest").agg(F.collect_list(span).alias("spans"))
     return cold.unionByName(spread)
 
 
@@ -270,10 +313,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = 0
             if cuts.is_valid:
                 edge = np.zeros(len(words) + 1, np.int64)
-                for cut in cuts.as_py():
-                    at = np.asarray(cut["places"]) + cut["first"]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
+                spans = cuts.values.flatten()
+                np.add.at(edge, spans[0].to_numpy(zero_copy_only=False), 1)
+                np.add.at(edge, spans[1].to_numpy(zero_copy_only=False) + WINDOW, -1)
                 keep = (np.cumsum(edge)[:-1] == 0).tolist()
                 gone = keep.count(False)
                 kept = [w for w, k in zip(words, keep) if k]
@@ -296,10 +338,22 @@ def dedup(docs: DataFrame, bits: int = MAP_BITS) -> DataFrame:
     row is known by its doc_id (null is a value) and a hash of doc_id and text.
     An empty table gives an empty result. Other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-    packed = stored(pack(rows, repeated_map(rows, bits), bits), "packed")
-    found = packed.select("doc_id", "h", "first", "digest").join(repeats(packed), "digest")
-    cuts = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "places")).alias("cuts")).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "cuts")
+    known = minimisers(rows)
+    packed = stored(pack(rows, bitmap(known, bits), bitmap(known.where("varied"), bits), bits), "packed", compression="zstd")
+    release(spark)
+    different = packed.where("digest is not null")
+    times = different.groupBy("digest").agg(F.count("*").alias("n"))
+    strings = different.where("packed is not null").select("minimiser", "digest", "packed").distinct()
+    distinct = stored(strings.join(times, "digest").select("minimiser", "digest", "n", "packed"), "distinct", compression="zstd")
+    release(spark)
+    alike = packed.select("doc_id", "h", "first", "count", "minimiser").join(known.where("not varied"), "minimiser")
+    alike = alike.select("doc_id", "h", F.array(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1).alias("hi"))).alias("spans"))
+    found = different.select("doc_id", "h", "first", "digest").join(repeats(distinct), "digest")
+    shift = lambda x: F.struct((x["lo"] + F.col("first")).alias("lo"), (x["hi"] + F.col("first")).alias("hi"))
+    found = alike.unionByName(found.select("doc_id", "h", F.transform("spans", shift).alias("spans")))
+    cuts = found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("cuts")).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "cuts")
     joined = rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["_doc_id"]) & (rows["h"] == cuts["_h"]), "left")
     return joined.select("doc_id", "text", "cuts").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")
