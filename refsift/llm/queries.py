@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, mixing, pii, quality, simhash, substring, tokens
+from . import bpe, exact, langid, licenses, mixing, pii, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences and notices in each document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     return tokens.round_trip(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_licenses": op7_licenses,
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
@@ -78,4 +84,5 @@ ORACLES = {
                doc_id IS NOT DISTINCT FROM keep_id AND n = keep_n AS kept, sha256(norm) AS text_sha256
         FROM g
     """,
+    "op7_licenses": licenses.oracle(),
 }
