@@ -294,6 +294,11 @@ class Lexicon:
         return bytes(self.ids[4 * self.starts[n] : 4 * self.starts[n + 1]])
 
 
+def unusual(text: str) -> bool:
+    """Whether a text has characters that Python's tables, and so perhaps the tokenizer library's, don't know."""
+    return bool(_RARE.search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Splitter:
     """The words of texts that hold no special token.
 
@@ -304,7 +309,7 @@ class Splitter:
         self.path, self.library = tokenizer_path, None
 
     def pieces(self, text: str) -> Iterator[list[str]]:
-        if _RARE.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if unusual(text):
             if self.library is None:
                 from tokenizers import Tokenizer
 
