@@ -33,19 +33,15 @@ from .common import cut, shared_dir
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon.
 LEXICON_WORDS = 32768
-#: Chunks of text that a worker remembers or counts at once.
-MEMO = 400_000
+#: Words that a worker remembers or counts at once.
+MEMO = 200_000
 #: Code points of a text that are split at once.
 PIECE = 1 << 20
 #: Code points of texts that are encoded together.
 TOGETHER = 1 << 21
-#: New chunks that are looked up together.
-GROUP = 1 << 15
 #: Bytes of a word that is merged in the table's way; longer ones use a heap.
 SHORT = 64
 _HASH_BITS = 20
-_BLANK = regex.compile(r"\s")
-_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if _BLANK.match(c))
 _RARE = regex.compile(r"[^\x00-՗]")
 _SPLIT = regex.compile(PATTERN)
 
@@ -323,103 +319,46 @@ class Splitter:
                 yield some
 
 
-def chunks(text: str) -> list[str]:
-    """Cut a text where words always end: before a line feed or single space between other characters.
-
-    The first chunk is marked by a space in front; a chunk that begins with a
-    line feed is itself; any other is preceded by a space in the text.
-    """
-    found = text.replace("\n", " \n").split(" ")
-    found[0] = " " + found[0]
-    return found
-
-
-def spelled(chunk: str) -> str | None:
-    """A chunk with the character before it, a line feed for the first one; None if it touches
-    further white space, so that its words depend on its neighbours."""
-    first = chunk[:1]
-    body = chunk[1:] if first in (" ", "\n") else chunk
-    if not body:
-        return "\n" if first == " " else None
-    if body[0] in _BLANKS or body[-1] in _BLANKS:
-        return None
-    return "\n" + body if first in (" ", "\n") else " " + body
-
-
-def regrouped(ids: bytes, id_bytes, lengths, ends) -> list[bytes]:
-    """Cut ids, given as tokens or words with the bytes of their ids and their lengths, where strings of other lengths end."""
-    at = np.cumsum(np.fromiter(lengths, np.int64))
-    cuts = np.searchsorted(at, np.cumsum(np.fromiter(ends, np.int64)))
-    size = np.cumsum(np.fromiter(id_bytes, np.int64))[cuts].tolist()
-    return [ids[a:b] for a, b in zip([0, *size], size)]
-
-
 class Encoder:
     """Encodes and decodes whole texts.
 
-    Texts are cut in chunks, whose ids are remembered. The words of chunks that
-    aren't are looked up together, in the lexicon and then by merging. resolve
-    (of spelled chunks, giving the ids of each as bytes) and uncut (of a text)
-    take the place of both.
+    The words of some texts that aren't remembered are looked up together, in
+    the lexicon and then by merging.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, resolve=None, uncut=None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.splitter = Splitter(vocabulary.path)
-        self.memo: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes] = {}
         self.again: set[str] = set()
-        self.resolve, self.uncut = resolve or self._resolve, uncut or self._uncut
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
-    def _resolve(self, chunks: list[str]) -> list[bytes]:
-        """The ids of spelled chunks, by their words."""
-        words = [w for some in self.splitter.pieces("".join(chunks)) for w in some]
-        every = list(set(words))
-        raw = [w.encode() for w in every]
+    def _resolve(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
         found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
         short = [i for i, x in enumerate(found) if x is None and len(raw[i]) <= SHORT]
         for i, x in zip(short, self.vocabulary.merge_all([raw[i] for i in short]) if short else ()):
             found[i] = x
-        ids = {w: np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for w, r, x in zip(every, raw, found)}
-        out = [ids[w] for w in words]
-        return regrouped(b"".join(out), map(len, out), map(len, words), map(len, chunks))
+        return [np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for r, x in zip(raw, found)]
 
-    def _learn(self, lists: list[list[str]]) -> None:
-        """Remember the ids of all chunks in lists. When memory is full, those that were never seen again go."""
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of some lists of words. When memory is full, words that were never seen again go."""
         seen = set().union(*lists)
         unknown = seen.difference(self.memo)
-        self.again |= seen.difference(unknown)
+        known = seen.difference(unknown)
+        self.again |= known
         if len(self.memo) + len(unknown) > MEMO:
-            kept = self.again if len(self.again) + len(unknown) <= MEMO * 3 // 4 else seen.difference(unknown)
-            self.memo = {c: self.memo[c] for c in kept}
+            kept = self.again if len(self.again) + len(unknown) <= MEMO * 3 // 4 else known
+            self.memo = {w: self.memo[w] for w in kept}
             self.again = set()
-        known = [(c, w) for c in unknown if (w := spelled(c)) is not None]
-        self.memo.update(dict.fromkeys(unknown))
-        for at in range(0, len(known), GROUP):
-            some = known[at : at + GROUP]
-            for (c, _), ids in zip(some, self.resolve([w for _, w in some])):
-                # The line feed in front of a text's first chunk isn't part of it.
-                self.memo[c] = ids[4:] if c[0] == " " else ids
-
-    def _join(self, some: list[str], text: str) -> bytes:
-        try:
-            return b"".join(map(self.memo.__getitem__, some))
-        except TypeError:  # white space that isn't single
-            return self.uncut(text)
-
-    def _uncut(self, text: str) -> bytes:
-        out = []
-        for words in self.splitter.pieces(text):
-            every = list(set(words))
-            raw = [w.encode() for w in every]
-            found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
-            ids = {w: np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for w, r, x in zip(every, raw, found)}
-            out += map(ids.__getitem__, words)
-        return b"".join(out)
+        unknown = list(unknown)
+        self.memo.update(zip(unknown, self._resolve(unknown)))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
 
     def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers, in order."""
-        waiting: list[str] = []
+        waiting: list[list[str]] = []
         size = 0
         for text in texts:
             special = self.special is not None and any(x in text for x in self.vocabulary.special)
@@ -430,21 +369,17 @@ class Encoder:
                     parts = self.special.split(text)
                     yield b"".join([self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in enumerate(parts)])
                 else:
-                    yield b"".join(self._flush([part])[0] for part in _parts(text))
+                    yield b"".join(self._ids([some])[0] for some in self.splitter.pieces(text))
                 continue
-            waiting.append(text)
+            waiting += self.splitter.pieces(text)
             size += len(text)
             if size >= TOGETHER:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        lists = [chunks(t) for t in texts]
-        self._learn(lists)
-        return [self._join(some, t) for some, t in zip(lists, texts)]
+    def _flush(self, waiting: list[list[str]]) -> list[bytes]:
+        return self._ids(waiting) if waiting else []
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(iter([text])))
@@ -455,20 +390,6 @@ class Encoder:
         return b"".join(b"".join(map(get, words[i : i + PIECE].tolist())) for i in range(0, len(words), PIECE)).decode("utf-8", "replace")
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A long text cut at single spaces, about PIECE apart; each part but the first begins with one."""
-    at = 0
-    while True:
-        end = text.find(" ", at + PIECE)
-        while 0 < end < len(text) - 1 and (_BLANK.match(text[end - 1]) or _BLANK.match(text[end + 1])):
-            end = text.find(" ", end + 1)
-        if end < 0 or end >= len(text) - 1:
-            yield text[at:]
-            return
-        yield text[at:end]
-        at = end
-
-
 @functools.lru_cache(4)
 def encoder(model: str, lexicon: str) -> Encoder:
     """The encoder of a worker process for files that were shipped; its memory lasts over tasks."""
@@ -497,17 +418,8 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(SparkFiles.get(model))
-        seen: Counter = Counter()  # of chunks
         words: Counter = Counter()
 
-        def split() -> None:
-            for chunk, n in seen.items():
-                for some in splitter.pieces(spelled(chunk)):
-                    # The line feed in front of a text's first chunk isn't part of it.
-                    for w in some[1:] if chunk[0] == " " else some:
-                        words[w] += n
-            seen.clear()
-
         def take() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
             words.clear()
@@ -515,23 +427,10 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                for part in _parts(text.as_py() or ""):
-                    some = chunks(part)
-                    before = len(seen)
-                    seen.update(some)
-                    new = list(islice(reversed(seen), len(seen) - before)) if len(seen) > before else []
-                    if any(spelled(c) is None for c in new):
-                        # White space that isn't single: count the words of the whole part.
-                        seen.subtract(some)
-                        for c in new:
-                            del seen[c]
-                        for words_of in splitter.pieces(part):
-                            words.update(words_of)
-                if len(seen) > MEMO:
-                    split()
+                for some in splitter.pieces(text.as_py() or ""):
+                    words.update(some)
                 if len(words) > MEMO:
                     yield take()
-        split()
         if words:
             yield take()
 

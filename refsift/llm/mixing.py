@@ -186,3 +186,25 @@ def place(slim: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed:
     at = at.withColumn("place", F.coalesce("position", 3 + F.col("h") / F.lit(2.0**63)))
     at = at.drop("segments", "weight", "source_no", "bits", "full", "before")
     return at.repartitionByRange("place", "h").sortWithinPartitions("place", "h").drop("place", "h")
+
+
+def sequence(docs: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed: int = 0) -> DataFrame:
+    """The rows of docs with all columns, each as often as mix() takes it, in order of training.
+
+    A row is known by its doc_id, its source and a hash of its text, so rows
+    that repeat all three share what is taken of them all. Documents without a
+    word are taken like others.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns])
+    keyed = lambda d: F.concat_ws("|", F.coalesce(d["doc_id"].cast("string"), F.lit("")), F.xxhash64(d["doc_id"], d["source"], d["text"]))
+    slim = cut(docs.select(keyed(docs).alias("key"), *[c for c in sizes(docs).columns if c != "size"], F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size")))
+    placed = place(slim, plan, max_epochs, seed).where("copies > 0").select("key", F.explode("positions").alias("place"))
+    # Rows of one key are alike: each takes as many of its places as there are rows, in turn.
+    shares = placed.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("row.text"))
+    rows = docs.select(keyed(docs).alias("key"), row.alias("row")).join(shares, "key").select("row", "places", "key", nth.alias("nth"))
+    of = slim.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
+    rows = rows.join(of, "key", "left")
+    mine = F.filter("places", lambda p, i: F.pmod(i, F.coalesce("of", F.lit(1))) == F.col("nth") - 1)
+    out = rows.select("row", F.explode(mine).alias("place"))
+    return out.repartitionByRange("place").sortWithinPartitions("place").select("row.*")
