@@ -1,5 +1,5 @@
-"""Registry of the engine's own queries and their DuckDB counterparts."""
+"""The engine's own queries and their DuckDB counterparts."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import decisions, evidence  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
