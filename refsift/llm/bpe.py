@@ -22,6 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,16 @@ from .common import cut, shared_dir
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon.
 LEXICON_WORDS = 32768
-#: Words that a worker remembers or counts at once.
-MEMO = 200_000
 #: Code points of a text that are split at once.
-PIECE = 1 << 20
+PIECE = 1 << 21
 #: Code points of texts that are encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 #: Bytes of a word that is merged in the table's way; longer ones use a heap.
 SHORT = 64
 _HASH_BITS = 20
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
+#: A chunk that is empty, or whose body begins or ends with white space.
+_OPEN = r"^\n?$|^\n[{0}]|^[{1}]|[{0}]$".format("".join(sorted(_BLANKS)), "".join(sorted(_BLANKS - {"\n"})))
 _RARE = regex.compile(r"[^\x00-՗]")
 _SPLIT = regex.compile(PATTERN)
 
@@ -319,21 +321,62 @@ class Splitter:
                 yield some
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of values that begin at starts, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+
+
+def _lengths(items) -> np.ndarray:
+    return np.fromiter(map(len, items), np.int64, len(items))
+
+
+def cut_up(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Cut texts where words always end: before a line feed or a single space between other characters.
+
+    Returns the different chunks, the number of each chunk in turn, and how many
+    each text has. A chunk that begins with a line feed is itself, any other is
+    preceded by a space in the text; texts get a line feed in front.
+    """
+    marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+    lists = pc.split_pattern(marked, " ")
+    coded = pc.list_flatten(lists).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+class Words:
+    """The words of different chunks: words, which of them come in turn, and how many each chunk has.
+
+    open marks chunks that touch further white space, so that their words depend
+    on their neighbours; they have none here.
+    """
+
+    def __init__(self, chunks: pa.Array, splitter: Splitter):
+        self.open = pc.match_substring_regex(chunks, _OPEN).to_numpy(zero_copy_only=False)
+        closed = chunks.filter(pa.array(~self.open))
+        spelled = pc.if_else(pc.starts_with(closed, "\n"), closed, pc.binary_join_element_wise(" ", closed, ""))
+        found = [w for some in splitter.pieces("".join(spelled.to_pylist())) for w in some]
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        self.words, self.order = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.searchsorted(np.cumsum(_lengths(found)), np.cumsum(pc.utf8_length(spelled).to_numpy(zero_copy_only=False))) + 1
+        self.count = np.zeros(len(chunks), np.int64)
+        self.count[~self.open] = np.diff(np.r_[0, ends])
+
+
 class Encoder:
     """Encodes and decodes whole texts.
 
-    The words of some texts that aren't remembered are looked up together, in
-    the lexicon and then by merging.
+    Some texts at a time are cut in chunks, and each different chunk in words;
+    each different word is looked up in the lexicon, and merged if it isn't there.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.splitter = Splitter(vocabulary.path)
-        self.memo: dict[str, bytes] = {}
-        self.again: set[str] = set()
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def _resolve(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         raw = [w.encode() for w in words]
         found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
         short = [i for i, x in enumerate(found) if x is None and len(raw[i]) <= SHORT]
@@ -341,45 +384,63 @@ class Encoder:
             found[i] = x
         return [np.asarray(self.vocabulary.merge(r), "<u4").tobytes() if x is None else x for r, x in zip(raw, found)]
 
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of some lists of words. When memory is full, words that were never seen again go."""
-        seen = set().union(*lists)
-        unknown = seen.difference(self.memo)
-        known = seen.difference(unknown)
-        self.again |= known
-        if len(self.memo) + len(unknown) > MEMO:
-            kept = self.again if len(self.again) + len(unknown) <= MEMO * 3 // 4 else known
-            self.memo = {w: self.memo[w] for w in kept}
-            self.again = set()
-        unknown = list(unknown)
-        self.memo.update(zip(unknown, self._resolve(unknown)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+    def _uncut(self, texts: list[str]) -> list[bytes]:
+        """ids of texts by their words as a whole, special tokens included."""
+        parts = [self.special.split(t) if self.special else [t] for t in texts]
+        words = [[[w for some in self.splitter.pieces(p) for w in some] if i % 2 == 0 else p for i, p in enumerate(x)] for x in parts]
+        every = list({w for x in words for p in x[::2] for w in p})
+        ids = dict(zip(every, self._resolve(every)))
+        special = {k: v.to_bytes(4, "little") for k, v in self.vocabulary.special.items()}
+        return [b"".join([b"".join([ids[w] for w in p]) if i % 2 == 0 else special[p] for i, p in enumerate(x)]) for x in words]
+
+    def _cut(self, texts: list[str]) -> list[bytes | None]:
+        """ids of texts by chunks; None for texts with an open one."""
+        chunks, order, count = cut_up(pa.array(texts, pa.string()))
+        words = Words(chunks, self.splitter)
+        ids = self._resolve(words.words)
+        size = _lengths(ids) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat = _gather(flat, (np.cumsum(size) - size)[words.order], size[words.order])
+        # Ids of each different chunk, then of each in turn, then of each text.
+        ends = np.r_[0, np.cumsum(size[words.order])][np.cumsum(words.count)]
+        size = np.diff(np.r_[0, ends])
+        flat = _gather(flat, (ends - size)[order], size[order])
+        bounds = np.r_[0, np.cumsum(count)]
+        is_open = np.r_[0, np.cumsum(words.open[order])][bounds]
+        ends = np.r_[0, np.cumsum(size[order])][bounds].tolist()
+        raw = flat.tobytes()
+        # The line feed in front of a text isn't part of it.
+        return [None if o else raw[4 * a + 4 : 4 * b] for o, a, b in zip(np.diff(is_open).tolist(), ends, ends[1:])]
 
     def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers, in order."""
-        waiting: list[list[str]] = []
+        waiting: list[str] = []
         size = 0
         for text in texts:
-            special = self.special is not None and any(x in text for x in self.vocabulary.special)
-            if special or len(text) > PIECE:
+            if len(text) > TOGETHER:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
-                if special:
-                    parts = self.special.split(text)
-                    yield b"".join([self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in enumerate(parts)])
+                if any(x in text for x in self.vocabulary.special):
+                    yield self._uncut([text])[0]
                 else:
-                    yield b"".join(self._ids([some])[0] for some in self.splitter.pieces(text))
+                    yield b"".join(self._flush([part])[0] for part in parts_of(text))
                 continue
-            waiting += self.splitter.pieces(text)
+            waiting.append(text)
             size += len(text)
             if size >= TOGETHER:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, waiting: list[list[str]]) -> list[bytes]:
-        return self._ids(waiting) if waiting else []
+    def _flush(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        special = [any(x in t for x in self.vocabulary.special) for t in texts]
+        found = self._cut(["" if s else t for s, t in zip(special, texts)])
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self._uncut([texts[i] for i in rest])):
+            found[i] = x
+        return found
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(iter([text])))
@@ -390,9 +451,23 @@ class Encoder:
         return b"".join(b"".join(map(get, words[i : i + PIECE].tolist())) for i in range(0, len(words), PIECE)).decode("utf-8", "replace")
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """A long text cut at single spaces, about PIECE apart; each part but the first begins with one."""
+    at = 0
+    while True:
+        end = text.find(" ", at + PIECE)
+        while 0 < end < len(text) - 1 and (text[end - 1] in _BLANKS or text[end + 1] in _BLANKS):
+            end = text.find(" ", end + 1)
+        if end < 0 or end >= len(text) - 1:
+            yield text[at:]
+            return
+        yield text[at:end]
+        at = end
+
+
 @functools.lru_cache(4)
 def encoder(model: str, lexicon: str) -> Encoder:
-    """The encoder of a worker process for files that were shipped; its memory lasts over tasks."""
+    """The encoder of a worker process for files that were shipped; it lasts over tasks."""
     return Encoder(Vocabulary(SparkFiles.get(model)), Lexicon(SparkFiles.get(lexicon)))
 
 
@@ -418,21 +493,31 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(SparkFiles.get(model))
-        words: Counter = Counter()
 
-        def take() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-            words.clear()
-            return batch
+        def counted(texts: list[str]) -> pa.RecordBatch:
+            chunks, order, count = cut_up(pa.array(texts, pa.string()))
+            words = Words(chunks, splitter)
+            bounds = np.r_[0, np.cumsum(count)]
+            is_open = np.diff(np.r_[0, np.cumsum(words.open[order])][bounds]) > 0
+            times = np.bincount(order[np.repeat(~is_open, count)], minlength=len(chunks))
+            n = np.bincount(words.order, np.repeat(times, words.count), len(words.words)).astype(np.int64)
+            rest = Counter(w for t, o in zip(texts, is_open.tolist()) if o for some in splitter.pieces(t) for w in some)
+            # A line feed in front of each text isn't part of it.
+            rest["\n"] -= int((~is_open).sum())
+            return pa.RecordBatch.from_arrays([pa.array(words.words + list(rest), pa.string()), pa.array(n.tolist() + list(rest.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
+            waiting: list[str] = []
+            size = 0
             for text in batch.column(0):
-                for some in splitter.pieces(text.as_py() or ""):
-                    words.update(some)
-                if len(words) > MEMO:
-                    yield take()
-        if words:
-            yield take()
+                for part in parts_of(text.as_py() or ""):
+                    waiting.append(part)
+                    size += len(part)
+                    if size >= TOGETHER:
+                        yield counted(waiting)
+                        waiting, size = [], 0
+            if waiting:
+                yield counted(waiting)
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
