@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, whole
+from .common import BLANK, cut, release, whole
 
 SALTS = 16
-_LONGS = F.lit("36893488147419103232").cast("decimal(20,0)")  # 2**65
-_TOP = F.lit("9223372036854775808").cast("decimal(20,0)")  # 2**63
+
+
+def _number(x: int) -> Column:
+    return F.lit(str(x)).cast("decimal(20,0)")
 
 
 def normalised(text: Column) -> Column:
@@ -24,8 +26,8 @@ def normalised(text: Column) -> Column:
 def _rank(n: Column, doc_id: Column) -> Column:
     """A fixed-width number that is largest for the row that stays: most code points,
     then smallest doc_id, a null doc_id after all others."""
-    late = F.coalesce(_TOP - doc_id.cast("decimal(19,0)"), F.lit(0).cast("decimal(20,0)"))
-    return (n.cast("decimal(10,0)") * _LONGS + late).cast("decimal(33,0)")
+    late = F.coalesce(_number(2**63) - doc_id.cast("decimal(19,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (n.cast("decimal(10,0)") * _number(2**65) + late).cast("decimal(33,0)")
 
 
 def winners(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -41,11 +43,11 @@ def winners(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
     salted = rows.groupBy("text_sha256", "norm", "salt").agg(F.max("top").alias("top"), F.count("*").alias("c"))
     merged = salted.groupBy("text_sha256", "norm").agg(F.max("top").alias("top"), F.sum("c").alias("c"))
-    late = F.pmod(F.col("top"), _LONGS)
+    late = F.pmod(F.col("top"), _number(2**65))
     return merged.select(
         "text_sha256", F.length("norm").alias("text_len"),
-        F.when(late > 0, (_TOP - late).cast("long")).alias("keep_id"),
-        ((F.col("top") - late) / _LONGS).cast("int").alias("keep_chars"),
+        F.when(late > 0, (_number(2**63) - late).cast("long")).alias("keep_id"),
+        ((F.col("top") - late) / _number(2**65)).cast("int").alias("keep_chars"),
         F.col("c").cast("long").alias("group_size"),
     )
 
@@ -86,7 +88,10 @@ def only(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("keep_id"),
         F.length(text).alias("keep_chars"),
     )
-    best = winners(docs, salts).select(
+    # Slim, and once it is written, the texts that were shuffled for it can go.
+    best = cut(winners(docs, salts))
+    release(docs.sparkSession)
+    best = best.select(
         "text_sha256", F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("keep_id"), "keep_chars"
     )
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("row.text")).alias("nth")

@@ -79,7 +79,7 @@ def pivot_distances(fp: Column) -> Column:
 
 def _masks(bits: list[int], parts: int, agree: int) -> list[int]:
     """Masks of all choices of agree out of parts blocks of the given bits."""
-    blocks = [sum(1 << b for b in block) for block in np.array_split(bits, parts)]
+    blocks = [sum(1 << b for b in block.tolist()) for block in np.array_split(bits, parts)]
     return [sum(c) for c in combinations(blocks, agree)]
 
 
