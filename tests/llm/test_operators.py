@@ -1,0 +1,413 @@
+"""Each operator against a brute-force version, with nulls, empty and repeated rows, empty tables and clashing columns."""
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from refsift.llm import bpe, exact, langid, licenses, mixing, pii, quality, simhash, substring, tokens
+from refsift.llm.common import shared_dir
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, size long, h long, fp long, m string, row string, first string"
+
+
+def words_of(rng, n, vocabulary=60):
+    return " ".join(rng.choice(["the", "of", "a", "Word", "é", "x", "日本"]) if rng.random() < 0.3 else f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(7)
+    texts = [words_of(rng, rng.choice([1, 2, 5, 20, 60, 200])) for _ in range(60)]
+    texts += ["", " \n\t ", None, None, "one two", "ONE  two", "one\ntwo ", "!!! ???", "x" * 3000, "a " * 500, "\x0b\x0c"]
+    texts += [texts[3], texts[3] + " ", texts[4].upper(), "  " + texts[5].replace(" ", "\n")]
+    long = words_of(rng, 300).split(" ")
+    texts += [" ".join(long), " ".join(long[:150] + ["changed"] + long[151:]), " ".join(["other"] * 40 + long[20:90]), "<|endoftext|> in text <|endoftext|>"]
+    out = [(i if i != 10 else None, t, ("en", "de", None)[i % 3], (None, "s1", "s2", "s0")[min(3, i % 7)]) for i, t in enumerate(texts)]
+    return out + out[20:23]  # rows that repeat
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, 3, "m", "row", "first") for r in rows], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(row):
+    return tuple("" if v is None else str(v) for v in row)
+
+
+def same(got, want):
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_all_on_an_empty_table(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for found in (
+        mixing.mix(empty), mixing.sequence(empty), quality.judge(empty, labels), quality.keep(empty, labels), pii.find(empty), bpe.encode(empty), substring.dedup(empty), exact.assign(empty),
+        exact.only(empty), licenses.scan(empty), tokens.round_trip(empty), langid.identify(empty), simhash.dedup(empty), simhash.only(empty),
+    ):
+        assert found.count() == 0
+
+
+def test_stages_keep_all_columns(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for found in (mixing.sequence(docs), quality.keep(docs, labels), exact.only(docs), simhash.only(docs)):
+        assert found.columns == docs.columns and found.count() > 0
+
+
+# Mixing
+
+def test_mix(docs, rows):
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows)
+    size = lambda t: len(WORD.findall(t or ""))
+    total = Counter()
+    for _, t, _, s in rows:
+        total[s] += size(t)
+    names = sorted((s for s in total if s is not None)) + [None]
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    target, free = {}, set(names)
+    rest = sum(total.values())
+    while True:  # the excess of capped sources goes to the others by weight
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * total[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * total[s]
+            rest -= target[s]
+        free -= over
+    target |= share
+    by_size = {(total[s], round(target[s], 6)) for s in names}
+    assert {(r.source_size, round(r.target, 6)) for r in found} == by_size
+    taken = Counter()
+    for r in found:
+        assert r.taken == r["size"] * r.copies <= 3 * r["size"] and len(r.positions) == r.copies
+        assert all(0 <= p <= 1 for p in r.positions) and list(r.positions) == sorted(r.positions)
+        taken[r.source_size] += r.taken
+    for s in names:
+        assert abs(taken[total[s]] - target[s]) <= max(size(t) for _, t, _, x in rows if x == s) / 2 + 1
+    again = mixing.mix(docs.repartition(5)).collect()
+    same([(r.doc_id, r["size"], r.taken, r.position) for r in again], [(r.doc_id, r["size"], r.taken, r.position) for r in found])
+
+
+def test_sequence_takes_what_mix_says(docs):
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in mixing.sequence(docs).collect())
+    assert got == Counter({k: v for k, v in taken.items() if v})
+
+
+def test_schedule_is_inverted(spark):
+    knots = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5))])
+    row = spark.range(1).select(mixing._integrated(knots).alias("s")).select(*[mixing._inverse(F.col("s"), F.lit(x)).alias(f"t{i}") for i, x in enumerate((0.0, 0.5, 1.0, 0.2))]).first()
+    assert list(row)[:3] == pytest.approx([0.0, 0.5, 1.0])
+    t = row.t3  # 0.5 t + t^2 = 0.2
+    assert 0.5 * t + t * t == pytest.approx(0.2)
+
+
+# Quality rules
+
+def test_measures(docs, rows):
+    def brute(t):
+        t = t or ""
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        often = Counter(grams)
+        covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+    found = quality.judge(docs, docs.sparkSession.createDataFrame([], "doc_id long, quality int")).collect()
+    want = []
+    for i, t, _, _ in rows:
+        m = brute(t)
+        failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        want.append((i, *m, failed, not failed))
+    same([tuple(r)[:-1] for r in found], want)
+
+
+def test_rules_are_learned(spark):
+    rng = random.Random(3)
+    texts = [(i, words_of(rng, 120, 5000) if i % 4 else " ".join(w + rng.choice(["$$$", "###", "&&&"]) for w in words_of(rng, 120, 5000).split(" "))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 300)] + [(None, 0), (5, None), (9999, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert all(r.kept == (i % 4 > 0) for i, r in got.items())
+    assert quality.keep(docs, labels).count() == 300
+
+
+# Personal data
+
+def test_pii_base_is_the_patterns():
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    rng = random.Random(5)
+    for _ in range(4000):
+        t = "".join(rng.choice("a1.@- +25(é\n") for _ in range(rng.randint(0, 60)))
+        want = [("email", *m.span()) for m in mail.finditer(t)]
+        want += [("ip", *m.span()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        want += [("card", *m.span()) for m in card.finditer(t) if 16 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))]
+        want += [("phone", *m.span()) for m in phone.finditer(t) if 8 <= len(digits(m.group())) <= 15]
+        assert sorted(pii.spans(t)[0]) == sorted(want), t
+
+
+def test_pii_checks_and_context(docs, rows):
+    text = "IBAN GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33; amex card 378282246310005; ssn 123-45-6789; 123-45-6789"
+    base, added = pii.spans(text + " " * 60 + "number 378282246310005")
+    assert base == [] and [k for k, _, _ in added] == ["iban", "short_card", "ssn", "ssn"]
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82WEST12345698765432")
+    r = {x.doc_id: x for x in pii.find(docs).collect()}
+    assert len(r) and r[62].n_email == 0 and r[62].base_sha256 == hashlib.sha256(b"").hexdigest() and r[62].spans == ""
+
+
+# BPE
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.tokenizer())
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_bpe_round_trip(docs, rows, library):
+    want = []
+    for i, t, _, _ in rows:
+        ids = ids_of(library, t)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    same(bpe.encode(docs, lexicon_words=50).collect(), want)
+
+
+def test_bpe_matches_the_library(library):
+    vocabulary = bpe.Vocabulary(bpe.tokenizer())
+    coder, fast = bpe.Encoder(vocabulary), tokens.Coder(bpe.tokenizer())
+    rng = random.Random(2)
+    parts = ["a", "Z", " ", "  ", "\n", "\n\n", "'s", "'ll", "<|endoftext|>", "é", "日本", "՘", "\U0001e6c0", "1", "٣", "!", "\x85", "\x1c", " ", "　", "😀", "the", " and", "\t", "\r\n", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    for text, ids in zip(texts, coder.encode_all(iter(texts))):
+        want = ids_of(library, text)
+        assert np.frombuffer(ids, "<u4").tolist() == want == fast.encode(text).tolist(), text
+        assert coder.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_long_texts_and_words(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 500)
+    monkeypatch.setattr(bpe, "TOGETHER", 1000)
+    coder = bpe.Encoder(bpe.Vocabulary(bpe.tokenizer()))
+    rng = random.Random(4)
+    for text in (words_of(rng, 3000), "abcdefgh" * 2000, " " * 3000, "a  b \n c" * 500, words_of(rng, 500) + "<|endoftext|>" + "x" * 2000):
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == ids_of(library, text)
+
+
+def test_lexicon_is_exact_and_minimal(tmp_path):
+    words = [p + s for p in ("play", "work", "jump", "x") for s in ("", "s", "ed", "ing")]
+    entries = {w.encode(): [i, len(w)] for i, w in enumerate(words)}
+    raw = bpe.compile_lexicon(entries)
+    (tmp_path / "lexicon").write_bytes(raw)
+    lexicon = bpe.Lexicon(str(tmp_path / "lexicon"))
+    asked = [*entries, b"pla", b"playe", b"", b"z", b"playss"]
+    want = [np.array(entries[w], "<u4").tobytes() if w in entries else None for w in asked]
+    assert lexicon.get_all(asked) == want == [lexicon.get(w) for w in asked]
+    # One state for what follows play, work, jump and x.
+    assert len(lexicon.first) - 1 < 4 * 3 + 1 + 8
+
+
+def test_word_counts(docs, rows):
+    model = bpe.ship(docs.sparkSession, bpe.tokenizer())
+    want = Counter(w for _, t, _, _ in rows for w in bpe._SPLIT.findall(t or ""))
+    got = {r.word: r.n for r in bpe.word_counts(docs, model).collect() if r.n}
+    assert got == dict(want)
+
+
+# Substring dedup
+
+def brute_repeats(rows, window):
+    words = [WORD.findall(t or "") for _, t in rows]
+    often = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = {k + j for k in range(len(w) - window + 1) if often[tuple(w[k : k + window])] > 1 for j in range(window)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot, bits", [(1000, 28), (1, 28), (1000, 4)])
+def test_substring_dedup(docs, rows, monkeypatch, hot, bits):
+    monkeypatch.setattr(substring, "HOT", hot)
+    found = substring.dedup(docs, bits).collect()
+    want = brute_repeats([(i, t) for i, t, _, _ in rows], substring.WINDOW)
+    same(found, want)
+    assert sum(x[2] for x in want) > 300
+
+
+# Exact dedup
+
+def test_exact_dedup(docs, rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = {}
+    for i, t, _, _ in rows:
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, i))
+    want = []
+    for i, t, _, _ in rows:
+        best = min(groups[norm(t)])
+        kept = i == best[3] and len(t or "") == -best[0]
+        want.append((i, best[3], len(groups[norm(t)]), kept, hashlib.sha256(norm(t).encode()).hexdigest()))
+    same(exact.assign(docs).collect(), want)
+    kept = exact.only(docs)
+    assert kept.count() == len(groups)
+    assert {r.doc_id for r in kept.collect()} == {min(g)[3] for g in groups.values()}
+
+
+# Licences
+
+def test_licenses(spark):
+    mit = licenses.TEXTS["MIT"]
+    changed = "Copyright (c) 2020 Someone\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ;")
+    texts = [mit, changed, mit + " more", "Some prose.\nReleased under the MIT License.\nmore\nLicensed under CC BY-NC 4.0.", None, "", mit]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
+    got = sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.license for r in got] == ["MIT", "MIT", None, None, None, None, None, "MIT"]
+    assert [(r.n_notices, r.notices) for r in got if r.doc_id == 3] == [(2, "CC-BY-NC-4.0,MIT")] * 2
+
+
+# Token files
+
+def test_rans_blocks():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, 300_000), 50_000).astype(np.uint32)
+    table = tokens.Table(Counter(ids.tolist()))
+    assert int(table.freq.sum()) == 1 << tokens.SCALE
+    raw = tokens.pack_block([5, None, 7], [ids[:1], ids[1:1000], ids[1000:]], table)
+    doc_ids, lengths, back = tokens.unpack_block(memoryview(raw), table)
+    assert doc_ids == [5, None, 7] and lengths == [1, 999, 299_000] and (back == ids).all()
+    broken = bytearray(raw)
+    broken[-9] ^= 1
+    with pytest.raises(ValueError):
+        tokens.unpack_block(memoryview(bytes(broken)), table)
+    assert len(raw) < 2.2 * len(ids)
+
+
+def test_token_files(docs, rows, library, monkeypatch):
+    want, at = [], 0
+    for i, t, _, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array(ids_of(library, t) + [tokens.END], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    same(tokens.round_trip(docs).collect(), want)
+
+
+# Languages
+
+def test_languages(spark):
+    rng = random.Random(9)
+    vocabulary = {"aa": ["foo", "bar", "bazquux", "lorem"], "bb": ["zig", "zag", "wibble", "ypsilon"]}
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    rows = [(i, text(k := "ab"[i % 2] * 2, rng.choice([4, 50, 400])), k if i % 9 else None) for i in range(200)] + [(900, None, "aa"), (901, "12 !", "bb"), (902, "", "aa"), (None, "foo bar", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for i, t, _ in rows[:200]:
+        r = got[i]
+        assert r.lang_pred == "ab"[i % 2] * 2 and 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert got[None].held_out  # the text of no id is empty, and its crc32 0
+
+
+def test_learns_nothing_from_rows_held_out(spark):
+    rows = [(i, "foo bar", "xx") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0] + [(1, "foo bar", None)]
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"und"}
+
+
+# SimHash
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints, ids):
+    label = list(range(len(prints)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, d in enumerate(ids):
+        r = root(i)
+        least[r] = min(x for x in (least.get(r), d) if x is not None) if (least.get(r), d) != (None, None) else None
+    return [least[root(i)] for i in range(len(prints))]
+
+
+def test_simhash(docs, rows):
+    prints = [brute_fingerprint(t) for _, t, _, _ in rows]
+    ids = [r[0] for r in rows]
+    want = [(i, f"{p:016x}", c) for i, p, c in zip(ids, prints, brute_components(prints, ids))]
+    same(simhash.dedup(docs).collect(), want)
+    assert simhash.only(docs).count() == len(set(brute_components(prints, ids)))
+
+
+@pytest.mark.parametrize("split", [4096, 3])
+def test_components_of_dense_fingerprints(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    for _ in range(200):  # chains and clusters
+        p = rng.choice(prints)
+        for _ in range(rng.randint(0, 4)):
+            p ^= 1 << rng.randrange(64)
+        prints.append(p)
+    prints.append(0)
+    ids = list(range(len(prints)))
+    slim = spark.createDataFrame([(i, simhash._signed(p)) for i, p in zip(ids, prints)], "doc_id long, fp long")
+    slim = slim.repartition(4).cache()
+    found = {r.fp: r.component_id for r in simhash.grouped(slim).collect()}
+    assert [found[simhash._signed(p)] for p in prints] == brute_components(prints, ids)
+
+
+def test_pivot_bound_loses_no_link():
+    rng = random.Random(8)
+    for _ in range(2000):
+        a = rng.getrandbits(64)
+        b = a
+        for _ in range(rng.randint(0, 3)):
+            b ^= 1 << rng.randrange(64)
+        assert max(abs((a ^ p).bit_count() - (b ^ p).bit_count()) for p in simhash.PIVOTS) <= 3
+    for n in (10, 10**6, 10**9, 10**11):
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)
+            b = a
+            for k in rng.sample(range(64), 3):
+                b ^= 1 << k
+            assert any(a & m == b & m for m in simhash._layout(n))
+
+
+def test_shared_dir_is_the_clusters(spark):
+    assert shared_dir(spark)
