@@ -72,6 +72,23 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35
+        ), twice AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i : i + 34], ' ')) AS n FROM s) WHERE n > 1
+        ), gone AS (
+            SELECT DISTINCT r, i + k AS p FROM twice, (SELECT unnest(range(0, 35)) AS k)
+        ), words AS (
+            SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+        ), kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n
