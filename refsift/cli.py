@@ -4,33 +4,13 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from .functions import columns as c
-from .functions.udfs import title_similarity
-from .operators import extract, verify
 from .sinks import report
 from .sources import documents
+from .verifier import Verifier
 
-
-def check(docs: DataFrame, first: DataFrame, second: DataFrame | None = None) -> DataFrame:
-    """Findings of documents (doc_id, text) against authorities (doi, status, title, authors).
-
-    Looked up are DOIs; other kinds are unverifiable without a snapshot of theirs.
-    """
-    cites = extract.extract(docs).cache()
-    keyed = lambda a: a.select("doi", "status", F.struct("title", "authors").alias("title_key"))
-    dois = cites.where("kind = 'doi'").withColumn("claimed_key", F.lit(None).cast("struct<title:string,authors:array<string>>"))
-    found = verify.two_stage(dois, keyed(first), keyed(second if second is not None else first), use_second=second is not None)
-    work = F.coalesce(F.when(F.col("s1") == "hit", F.col("t1")), F.col("t2"))
-    names = lambda a: F.transform(a, lambda n: F.lower(n))
-    found = found.withColumn("similarity", title_similarity("claimed_title", work["title"])).withColumn("overlap", c.author_overlap(names(F.col("claimed_authors")), names(work["authors"])))
-    verdict = F.when(F.col("verdict") == "verified", c.assess("similarity", "overlap")).otherwise(F.col("verdict"))
-    columns = ["doc_id", "line", "raw", "kind", "identifier", "claimed_title"]
-    done = found.select(*columns, verdict.alias("verdict"), "authority", F.round("similarity", 3).alias("similarity"))
-    rest = cites.where("kind <> 'doi'").select(*columns, F.lit("unverifiable").alias("verdict"), F.lit("-").alias("authority"), F.lit(None).cast("double").alias("similarity"))
-    return done.unionByName(rest)
+SNAPSHOTS = {"first": "DOIs", "second": "DOIs, asked about what the first lacks", "arxiv": "arXiv records", "urls": "links", "works": "works to search", "more-works": "works to search next", "sources": "source texts of quotations"}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -41,8 +21,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--show-verified", action="store_true")
     p.add_argument("--strict", action="store_true", help="checks that were not concluded fail too")
     p.add_argument("--fail-under", type=float)
-    p.add_argument("--authority", required=True, help="Parquet snapshot: doi, status, title, authors")
-    p.add_argument("--fallback", help="a second snapshot, asked about what the first lacks")
+    p.add_argument("--check-quotes", action="store_true")
+    for name, what in SNAPSHOTS.items():
+        p.add_argument(f"--{name}", help=f"Parquet snapshot of {what}; without it these checks are disabled")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("refsift").getOrCreate()
     try:
@@ -53,8 +34,10 @@ def main(argv: list[str] | None = None) -> int:
     every = docs[0]
     for d in docs[1:]:
         every = every.unionByName(d)
-    snapshot = lambda path: spark.read.parquet(path)
-    rows = [r.asDict() for r in check(every, snapshot(a.authority), snapshot(a.fallback) if a.fallback else None).orderBy("doc_id", "line", "raw").collect()]
+    given = {n: getattr(a, n.replace("-", "_")) for n in SNAPSHOTS}
+    verifier = Verifier(**{n.replace("-", "_"): spark.read.parquet(path) for n, path in given.items() if path})
+    rows = [r.asDict() for r in verifier.findings(every).orderBy("doc_id", "line", "raw").collect()]
+    found = [r.asDict() for r in verifier.quotations(every).collect()] if a.check_quotes else []
     name = ", ".join(a.files)
     text = {"terminal": lambda: report.terminal(rows, a.show_verified), "json": lambda: report.as_json(name, rows), "markdown": lambda: report.markdown(name, rows), "html": lambda: report.as_html(name, rows)}[a.format]()
     if a.output:
@@ -62,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
             f.write(text)
     else:
         print(text, end="")
-    return report.exit_code(rows, a.strict, a.fail_under)
+    return report.exit_code(rows, a.strict, a.fail_under, found)
 
 
 if __name__ == "__main__":

@@ -23,7 +23,7 @@ def two_stage(citations: DataFrame, first: DataFrame, second: DataFrame, use_sec
     b = second.select(F.col("doi").alias("identifier"), F.col("status").alias("s2"), F.col("title_key").alias("t2"))
     one = citations.join(a, "identifier", "left").withColumn("s1", F.when(wellformed, F.coalesce("s1", F.lit("miss"))))
     asked = one.where("s1 = 'miss'").join(b, "identifier", "left").withColumn("s2", F.coalesce("s2", F.lit("miss")) if use_second else F.lit("disabled"))
-    rest = one.where("s1 is null or s1 <> 'miss'").select("*", F.lit(None).cast("string").alias("s2"), F.lit(None).cast("string").alias("t2"))
+    rest = one.where("s1 is null or s1 <> 'miss'").select("*", F.lit(None).cast("string").alias("s2"), F.lit(None).cast(one.schema["t1"].dataType).alias("t2"))
     rows = asked.select(*rest.columns).unionByName(rest)
     return rows.select("*", verdict_of("identifier", "s1", "s2", F.coalesce(F.when(F.col("s1") == "hit", F.col("t1")), F.col("t2"))).alias("verdict"), authority_of("s1", "s2").alias("authority"))
 

@@ -185,3 +185,32 @@ def test_stream_accumulates(spark, tmp_path):
         rows.write.mode("append").parquet(src)
         lifecycle.accumulate(spark.readStream.schema(rows.schema).parquet(src), dst, str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.arxiv_id for r in spark.read.parquet(dst).collect()) == ["a", "b"]
+
+
+def test_verifier_and_command_line(spark, tmp_path, capsys):
+    from refsift import cli
+    from refsift.verifier import ARXIV, DOI, URL, WORK, Verifier
+
+    text = (
+        'Body 10.1000/a and http://dead.example/x and arXiv:1234.56789v2.\nReferences\n[1] Smith, J. (2001). "The right title of a work". doi:10.1000/b\n'
+        '[2] Smith, J. (2001). "Something else entirely here". doi:10.1000/c\n[3] Jones, A. (2002). A paper on searching works well. Journal.\n[4] Doe, J. (2003). No such paper was ever printed. Journal.\n'
+        "doi:10.1000/gone and doi:10.1000/down"
+    )
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    first = spark.createDataFrame([("10.1000/a", "hit", "Any", ["X"], 2000), ("10.1000/b", "hit", "The Right Title of a Work", ["Smith"], 2001), ("10.1000/c", "hit", "Wholly different matter", ["Poe"], 1990), ("10.1000/down", "unreachable", None, None, None)], DOI)
+    second = spark.createDataFrame([], DOI)
+    arxiv = spark.createDataFrame([("1234.56789", "hit", "T", ["X"], 2012)], ARXIV)
+    urls = spark.createDataFrame([("http://dead.example/x", "miss")], URL)
+    works = spark.createDataFrame([(1, "A paper on searching works well", ["Jones"], 2002), (2, "Another paper", ["Roe"], 2000)], WORK)
+    v = Verifier(first=first, second=second, arxiv=arxiv, urls=urls, works=works)
+    got = {r.identifier or r.claimed_title: r.verdict for r in v.findings(docs).collect()}
+    assert got == {
+        "10.1000/a": "verified", "10.1000/b": "verified", "10.1000/c": "mismatch", "10.1000/gone": "not_found", "10.1000/down": "unreachable", "1234.56789v2": "verified",
+        "http://dead.example/x": "not_found", "A paper on searching works well": "verified", "No such paper was ever printed": "not_found",
+    }
+    assert {r.verdict for r in Verifier().findings(docs).collect()} == {"unverifiable"}
+    (tmp_path / "a.txt").write_text("See 10.1000/a.")
+    first.write.parquet(str(tmp_path / "first"))
+    assert cli.main([str(tmp_path / "a.txt"), "--first", str(tmp_path / "first"), "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)["summary"]["verified"] == 1
+    assert cli.main([str(tmp_path / "a.exe"), "--first", str(tmp_path / "first")]) == 2
