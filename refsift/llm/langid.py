@@ -44,10 +44,10 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, size: int = DICTIONARY, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionaries by language from the rows of docs that are not held out and have a lang."""
     low, high = SAMPLE_CHARS
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).where(F.length("text") <= high)
-    # Long enough texts come first; shorter ones serve languages that have no others.
-    order = Window.partitionBy("lang").orderBy(F.length("text") < low, F.xxhash64("doc_id"), "doc_id", "text")
-    rows = known.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= sample).orderBy("lang", "k").collect()
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Others serve languages that have none of these lengths; a longer text teaches what its beginning does.
+    order = Window.partitionBy("lang").orderBy(~F.length("text").between(low, high), F.xxhash64("doc_id"), "doc_id", "text")
+    rows = known.select("lang", F.substring("text", 1, high).alias("text"), F.row_number().over(order).alias("k")).where(F.col("k") <= sample).orderBy("lang", "k").collect()
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(canonical(r["text"]))

@@ -172,9 +172,12 @@ class Coder:
         self.special = list(vocabulary.special)
 
     def encode(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special) or bpe.unusual(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if not any(x in text for x in self.special) and not bpe.unusual(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # white space beyond what its splitter can go back over
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.lru_cache(2)

@@ -411,3 +411,14 @@ def test_pivot_bound_loses_no_link():
 
 def test_shared_dir_is_the_clusters(spark):
     assert shared_dir(spark)
+
+
+def test_very_long_texts(spark):
+    texts = ["\n" * 600_000, "x" * 400_000, "a " * 200_000, words_of(random.Random(1), 150_000, 9999), "1" * 300_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(2).cache()
+    files = {r.doc_id: r.n_tokens for r in tokens.round_trip(docs).collect()}
+    assert files == {r.doc_id: r.n_tokens + 1 for r in bpe.encode(docs).collect()}
+    assert {r.doc_id: r.n_words for r in substring.dedup(docs).collect()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    assert simhash.dedup(docs).count() == exact.assign(docs).count() == pii.find(docs).count() == 5
+    assert {r.doc_id: r.n_repeat_words for r in quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}[2] == 200_000
+    assert {r.lang_pred for r in langid.identify(docs).collect()} == {"en", "und"}
