@@ -9,6 +9,8 @@ from Spark and map into memory. Words it lacks are merged exactly by rank.
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import hashlib
 import heapq
@@ -28,16 +30,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, long_rows, shared_dir
 
 #: The splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon.
 LEXICON_WORDS = 32768
 #: Code points of a text that are split at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Code points of texts that are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Bytes of a word that is merged in the table's way; longer ones use a heap.
 SHORT = 64
 _HASH_BITS = 20
@@ -74,17 +76,11 @@ class Vocabulary:
         self.byte_ids = [0] * 256
         for letter, b in letters.items():
             self.byte_ids[b] = vocab[letter]
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-
-        left, right = (np.fromiter((p[i] for p in self.merges), np.int64, len(self.merges)) for i in (0, 1))
+        pairs = [(p.split(" ") if isinstance(p, str) else p) for p in spec["model"]["merges"]]
+        left, right, new = (np.fromiter((vocab[f(p)] for p in pairs), np.int64, len(pairs)) for f in (lambda p: p[0], lambda p: p[1], lambda p: p[0] + p[1]))
         keys = left << 32 | right
         order = np.argsort(keys)
-        self._keys = keys[order]
-        self._ranks = np.fromiter((m[0] for m in self.merges.values()), np.int64, len(keys))[order]
-        self._new = np.fromiter((m[1] for m in self.merges.values()), np.int64, len(keys))[order]
+        self._keys, self._ranks, self._new = keys[order], order, new[order]
         # A table of the keys by hash, in which a key lies at its place or soon after.
         self._slots = np.full((1 << _HASH_BITS) + 64, -1, np.int64)
         for i, h in enumerate(_hash(self._keys).tolist()):
@@ -93,6 +89,11 @@ class Vocabulary:
             self._slots[h] = i
         self._byte_ids = np.asarray(self.byte_ids, np.int64)
 
+    @functools.cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and new id by pair, for words that are merged alone."""
+        return {(k >> 32, k & (1 << 32) - 1): (r, n) for k, r, n in zip(self._keys.tolist(), self._ranks.tolist(), self._new.tolist())}
+
     def _pairs(self, keys: np.ndarray) -> np.ndarray:
         """The merge of each pair, -1 for none."""
         found = np.full(len(keys), -1, np.int64)
@@ -324,7 +325,11 @@ class Splitter:
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of values that begin at starts, one after the other."""
     ends = np.cumsum(lengths)
-    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def _lengths(items) -> np.ndarray:
@@ -465,6 +470,13 @@ def parts_of(text: str) -> Iterator[str]:
         at = end
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @functools.lru_cache(4)
 def encoder(model: str, lexicon: str) -> Encoder:
     """The encoder of a worker process for files that were shipped; it lasts over tasks."""
@@ -518,13 +530,14 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
                         waiting, size = [], 0
             if waiting:
                 yield counted(waiting)
+            trim()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of docs, at most so many, and ship them; returns the file's name."""
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     model = ship(spark, tokenizer_path)
     # A word that occurs once gains nothing. The table of counts stays distributed; a histogram
     # over steps of an eighth of a power of two tells which counts make up the words wanted.
@@ -561,7 +574,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_words: in
     equal results, and an empty table gives an empty one. Very long texts are
     split in pieces and very long words merged with a heap. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     tokenizer_path = tokenizer(tokenizer_path)
     lexicon = build_lexicon(docs, tokenizer_path, lexicon_words)
     model = ship(spark, tokenizer_path)
@@ -578,6 +591,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_words: in
                 if ids:
                     kept.append(found)
                     back.append(decoded)
+            trim()
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(
                 columns + ([pa.array(kept, pa.binary()), pa.array(back, pa.string())] if ids else []),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 #: The characters that separate words.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -42,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def long_rows(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold fewer rows, since texts are long: BATCH_ROWS, unless the session says otherwise than by default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find that jobs which have ended need their shuffle files no more."""
     gc.collect()

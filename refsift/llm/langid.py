@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import long_rows
+
 UNKNOWN = "und"
 #: Bytes of a dictionary.
 DICTIONARY = 64_000
@@ -103,7 +105,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     an empty one. Other columns are ignored.
     """
     # A dictionary of DICTIONARY bytes for each language travels with the task.
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    shared = long_rows(docs.sparkSession).sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value)

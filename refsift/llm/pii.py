@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import long_rows
+
 THRESHOLD = 0.6
 NEAR = 48
 #: Score of a span that passed its checksum, if it has one, before context.
@@ -156,4 +158,5 @@ def find(docs: DataFrame) -> DataFrame:
     independent, so repeated rows get equal results, and an empty table gives an
     empty one. Other columns are ignored.
     """
+    long_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCHEMA)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, whole
+from .common import cut, long_rows, whole
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
 #: Reference fingerprints: the fractional parts of multiples of the golden ratio, in 64 bits.
@@ -228,6 +228,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     a component are null; then component_id is null. An empty table gives an
     empty result. Other columns are ignored.
     """
+    long_rows(docs.sparkSession)
     slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(whole("text")).alias("fp")))
     return slim.join(grouped(slim), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -235,6 +236,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 def only(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns: of each component the one with the smallest
     doc_id; of repeated rows, and of components without a doc_id, one."""
+    long_rows(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), fingerprints(whole("text")).alias("fp"))
     slim = cut(rows.select(F.col("_id").alias("doc_id"), "fp"))
     best = grouped(slim).select("fp", "root", "component_id")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, whole
+from .common import long_rows, release, stored, whole
 
 WINDOW, GRAM = 35, 8
 #: Bits of a map of minimisers, as a power of two: 32 MB, at any size of the data.
@@ -338,7 +338,7 @@ def dedup(docs: DataFrame, bits: int = MAP_BITS) -> DataFrame:
     row is known by its doc_id (null is a value) and a hash of doc_id and text.
     An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
     known = minimisers(rows)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import release, shared_dir, stored, whole
+from .common import long_rows, release, shared_dir, stored, whole
 
 #: Frequencies add up to two to the SCALE.
 SCALE = 20
@@ -191,7 +191,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     ids is binary, 16 bits each if the vocabulary allows, and 32 bits if not; id END ends each document.
     """
-    spark = docs.sparkSession
+    spark = long_rows(docs.sparkSession)
     model = bpe.ship(spark, tokenizer_path)
     kind = id_type(tokenizer_path)
 
