@@ -23,6 +23,8 @@ UNKNOWN = "und"
 DICTIONARY = 64_000
 #: The training sample: so many texts a language at most, by hash of doc_id, of these lengths.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, (200, 4000)
+#: Languages that are learned, those with most rows.
+LANGUAGES = 256
 LEVEL, PIECE = 6, 1000
 #: Below so many bytes a text is short.
 SHORT, SHORT_LEVEL = 300, 19
@@ -44,9 +46,11 @@ def held_out(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, size: int = DICTIONARY, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Dictionaries by language from the rows of docs that are not held out and have a lang."""
+    """Dictionaries by language from the rows of docs that are not held out and have a lang; LANGUAGES * size bytes at most."""
     low, high = SAMPLE_CHARS
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = known.where(F.col("lang").isin([r["lang"] for r in most]))
     # Others serve languages that have none of these lengths; a longer text teaches what its beginning does.
     order = Window.partitionBy("lang").orderBy(~F.length("text").between(low, high), F.xxhash64("doc_id"), "doc_id", "text")
     rows = known.select("lang", F.substring("text", 1, high).alias("text"), F.row_number().over(order).alias("k")).where(F.col("k") <= sample).orderBy("lang", "k").collect()
