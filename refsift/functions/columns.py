@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The normal quantile and the thresholds of decisions.
 Z = 1.959963984540054
 MISMATCH, STRONG, YEAR_TOLERANCE = 66.0, 85.0, 2
 QUOTE_MATCH = 88.0
@@ -104,6 +105,7 @@ def markup_text(text) -> Column:
 def latex_entry(text) -> Column:
     """A LaTeX bibliography entry as a reader sees it."""
     out = col(text)
+    # The commands whose argument is text.
     for _ in range(3):
         out = F.regexp_replace(out, r"\\(?:emph|textit|textbf|texttt|mbox|text|href\{[^}]*\}|url|doi|newblock)\s*\{([^{}]*)\}", "$1")
     for pattern, by in ((r"\\%", "%"), (r"\\&", "&"), (r"``|''", '"'), ("~", " "), (r"\\[a-zA-Z@]+\s*", " "), (r"[{}]", "")):

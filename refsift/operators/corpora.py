@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 
+# The markup of bibliography items and citation templates.
 BIBITEM = r"\\bibitem(?:\[[^\]]*\])?\{[^}]*\}"
 TEMPLATE = r"(?s)\{\{\s*[Cc]ite\s+(journal|book|report|web|news|conference|thesis|arxiv)\s*\|([^{}]{0,2000}?)\}\}"
 PARAMETER = r"\|\s*([A-Za-z0-9_\-]+)\s*=\s*([^|]*)"

@@ -14,6 +14,7 @@ from ..functions.udfs import title_of
 
 #: What ends a line (fixed values, those of Unicode text files).
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+# The patterns of identifiers, headings and numbered entries.
 DOI = r"(?i)(?:doi:\s*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[-._;()/:A-Za-z0-9<>\[\]+]+)"
 ARXIV = r"(?i)arXiv:\s*(?:(\d{4}\.\d{4,5}(?:v\d+)?)|([a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?))"
 URL = r"(?i)https?://[^\s<>\"'\)\]]+"

@@ -8,6 +8,7 @@ from ..functions import columns as c
 from ..functions.udfs import find_passage
 from .extract import LINE_END
 
+# Quotation marks and lengths, markers, headings.
 QUOTE = '(?s)"([^"]{40,600})"|“([^”]{40,600})”|«([^»]{40,600})»'
 MARKER = r"^[\s.,;:]*(?:\[(\d{1,3})\]|\((\d{1,3})\)|\^(\d{1,3}))"
 HEADING = r"(?i)^\s*(?:#+\s*)?(?:\d+\.?\s*)?(references|bibliography|works cited|sources|citations)\s*:?\s*$"
