@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, cut, release, whole
+from .common import BLANK, release, stored, whole
 
 SALTS = 16
 
@@ -89,7 +89,7 @@ def only(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.length(text).alias("keep_chars"),
     )
     # Slim, and once it is written, the texts that were shuffled for it can go.
-    best = cut(winners(docs, salts))
+    best = stored(winners(docs, salts), "winners")
     release(docs.sparkSession)
     best = best.select(
         "text_sha256", F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("keep_id"), "keep_chars"
