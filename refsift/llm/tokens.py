@@ -30,9 +30,9 @@ from .common import long_rows, release, shared_dir, stored, whole
 
 #: Frequencies add up to two to the SCALE.
 SCALE = 20
-LANES = 512
+LANES = 2048
 #: Steps between checkpoints.
-CHECKPOINT = 256
+CHECKPOINT = 128
 #: Ids after which a block ends with the current document.
 BLOCK = 1 << 18
 #: Ids after which a file ends.
