@@ -82,21 +82,19 @@ def identifiers(text) -> Column:
 
 def extract(docs: DataFrame) -> DataFrame:
     """The citations of each document (doc_id, text), in the CITATION schema, each key of a document once."""
-    rows = entries(lines(docs)).withColumn("ids", identifiers("body"))
-    body = F.col("body")
-    claims = [
-        F.when(F.col("is_entry"), F.col("title")).alias("claimed_title"),
-        F.when(F.col("is_entry"), c.authors_in("body")).otherwise(F.array().cast("array<string>")).alias("claimed_authors"),
-        F.when(F.col("is_entry"), c.year_in("body")).alias("claimed_year"),
-        F.substring(F.trim(body), 1, 400).alias("context"), F.when(F.col("is_entry"), F.col("ref_number")).alias("ref_number"),
-    ]
-    # Only entries go through the title UDF.
-    titled = rows.where("is_entry").withColumn("title", title_of("body")).unionByName(rows.where("not is_entry").withColumn("title", F.lit(None).cast("string")))
-    direct = titled.select("*", F.posexplode("ids").alias("pos", "id")).select("doc_id", "id.raw", "id.kind", "line", "pos", "id.identifier", *claims)
-    rest = titled.where(F.col("is_entry") & (F.size("ids") == 0) & F.col("title").isNotNull())
-    rest = rest.select("doc_id", F.substring(body, 1, 300).alias("raw"), F.lit("bibliographic").alias("kind"), "line", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("identifier"), *claims)
-    rest = rest.where((F.size("claimed_authors") > 0) | F.col("claimed_year").isNotNull())
-    return first_by_key(direct.unionByName(rest))
+    entry = F.col("is_entry")
+    # The UDF passes over what isn't an entry. Its rows come back as columns, so nothing before it is computed twice.
+    rows = entries(lines(docs)).withColumn("ids", identifiers("body")).withColumn("title", title_of(F.when(entry, F.col("body"))))
+    rows = rows.select(
+        "doc_id", "line", "ids", "body", F.col("title").alias("claimed_title"), F.when(entry, F.col("ref_number")).alias("ref_number"),
+        F.when(entry, c.authors_in("body")).otherwise(F.array().cast("array<string>")).alias("claimed_authors"), F.when(entry, c.year_in("body")).alias("claimed_year"),
+    )
+    described = F.col("claimed_title").isNotNull() & ((F.size("claimed_authors") > 0) | F.col("claimed_year").isNotNull())
+    alone = F.array(F.struct(F.lit("bibliographic").alias("kind"), F.lit(None).cast("string").alias("identifier"), F.substring("body", 1, 300).alias("raw")))
+    found = rows.select("*", F.posexplode(F.when(F.size("ids") > 0, F.col("ids")).when(described, alone)).alias("pos", "id"))
+    return first_by_key(found.select(
+        "doc_id", "id.raw", "id.kind", "line", "pos", "id.identifier", "claimed_title", "claimed_authors", "claimed_year", F.substring(F.trim("body"), 1, 400).alias("context"), "ref_number"
+    ))
 
 
 def first_by_key(citations: DataFrame) -> DataFrame:
