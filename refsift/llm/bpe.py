@@ -35,11 +35,11 @@ from .common import cut, long_rows, shared_dir
 #: The splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon.
-LEXICON_WORDS = 32768
+LEXICON_WORDS = 1 << 17
 #: Code points of a text that are split at once.
 PIECE = 1 << 20
 #: Code points of texts that are encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 #: Bytes of a word that is merged in the table's way; longer ones use a heap.
 SHORT = 64
 _HASH_BITS = 20
@@ -551,8 +551,9 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WOR
             floor += 1
             break
     top = counts.where(step >= floor).collect()
-    vocabulary = Vocabulary(tokenizer_path)
-    return publish(spark, compile_lexicon({w: vocabulary.merge(w) for w in (r["word"].encode() for r in top)}), "lexicon")
+    raw = [r["word"].encode() for r in top]
+    entries = {w: np.frombuffer(x, "<u4").tolist() for w, x in zip(raw, Vocabulary(tokenizer_path).merge_all(raw) if raw else [])}
+    return publish(spark, compile_lexicon(entries), "lexicon")
 
 
 def tokenizer(path: str | None = None) -> str:
