@@ -258,6 +258,8 @@ class Lexicon:
 
     def get_all(self, words: list[bytes]) -> list[bytes | None]:
         """get() of many words: all walk the automaton together, a byte a step."""
+        if not len(self._edges):
+            return [None] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum(lengths) - lengths

@@ -230,6 +230,11 @@ def test_lexicon_is_exact_and_minimal(tmp_path):
     assert len(lexicon.first) - 1 < 4 * 3 + 1 + 8
 
 
+def test_words_that_occur_once(spark, library):
+    docs = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in bpe.encode(docs).collect()} == {1: len(ids_of(library, "alpha")), 2: len(ids_of(library, "beta")), 3: 0, 4: 0}
+
+
 def test_word_counts(docs, rows):
     model = bpe.ship(docs.sparkSession, bpe.tokenizer())
     want = Counter(w for _, t, _, _ in rows for w in bpe._SPLIT.findall(t or ""))
