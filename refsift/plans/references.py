@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.udfs import find_passage, is_author_list, is_personal_name, is_title, title_of, title_similarity
-from ..operators import corpora, extract, quotes, verify
+from ..operators import corpora, extract, quotes, titles, verify
 from .registry import query, sql, with_
 
 # A document for each line item: prose with identifiers, then a bibliography, in SQL that both engines read.
@@ -126,13 +126,12 @@ def q20(spark, sf_dir):
 
 @query("q21_nearest_title")
 def q21(spark, sf_dir):
-    """The two titles most like each work's but not its own, among those that share a word which is not common."""
+    """The two titles most like each work's but not its own, of all works."""
     works = sql(spark, sf_dir, with_(_TITLED) + "SELECT * FROM titled")
     claims = works.select(F.col("work_id").alias("claim_id"), F.col("title").alias("claimed_title"))
-    met = verify.candidates(claims, works, common=50).where("claim_id <> work_id")
     rank = Window.partitionBy("claim_id").orderBy(F.desc("similarity"), "work_id")
-    scored = met.withColumn("similarity", title_similarity("claimed_title", "title")).where("similarity <= 92")
-    return scored.withColumn("nth", F.row_number().over(rank)).where("nth <= 2").select("claim_id", "work_id", "similarity", "nth")
+    met = titles.nearest(claims, works, 2, 92.0)
+    return met.withColumn("nth", F.row_number().over(rank)).where("nth <= 2").select("claim_id", "work_id", "similarity", "nth")
 
 
 @query("q25_quote_extract", """WITH q AS (SELECT d.doc_id, unnest(regexp_extract_all(d.text, '"([^"]{40,600})"', 1)) AS raw FROM documents d),

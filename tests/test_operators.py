@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from refsift.functions import columns as c
 from refsift.functions import text as t
-from refsift.operators import corpora, extract, quotes, verify
+from refsift.operators import corpora, extract, quotes, titles, verify
 from refsift.plans import calibration, decisions
 from refsift.plans.evidence import summary
 from refsift.sinks import guards, report
@@ -214,3 +214,24 @@ def test_verifier_and_command_line(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "a.txt"), "--first", str(tmp_path / "first"), "--format", "json"]) == 0
     assert json.loads(capsys.readouterr().out)["summary"]["verified"] == 1
     assert cli.main([str(tmp_path / "a.exe"), "--first", str(tmp_path / "first")]) == 2
+
+
+def common_titles():
+    """Titles of common words alone, some equal, some empty, one with accents and one without a word."""
+    from itertools import product
+
+    made = [f"{a} {b} of {c}" for a, b, c in product(("small", "red", "blue", "small red"), ("ring", "bolt", "gear", "rings"), ("steel", "steels", "tin", "brass"))]
+    return list(enumerate([*made, *made[:9], "Café of tin", "cafe tin", "...", "", None]))
+
+
+def test_nearest_titles_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(titles, "WORKS", 40)
+    monkeypatch.setattr(titles, "CLAIMS", 30)
+    rows = common_titles()
+    works = spark.createDataFrame(rows, "work_id long, title string")
+    got = {}
+    for r in titles.nearest(works.toDF("claim_id", "claimed_title"), works, 2, 92.0).collect():
+        got.setdefault(r.claim_id, []).append((-r.similarity, r.work_id))
+    for i, a in rows:
+        scores = [(-s, j) for j, b in rows if i != j and (s := t.title_similarity(a, b)) is not None and s <= 92]
+        assert sorted(got.get(i, []))[:2] == sorted(scores)[:2]
