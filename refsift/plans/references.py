@@ -153,41 +153,57 @@ def q26(spark, sf_dir):
 
 
 def containing(documents: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
-    """Pairs of document and passage that have the same run of words (by hash) somewhere, by the passage's rarest run.
+    """Pairs of document and passage of which the document holds the passage, or at least (by hash) its rarest run of inner words.
 
-    documents: doc_id, text; passages: item_id, text. All passages that a document holds whole are among the pairs.
+    documents: doc_id, text; passages: item_id, text. All passages that a document
+    holds whole are among the pairs: a passage's inner words, all but the first and
+    the last, have white space on both sides, so they are words of the document
+    too, whatever touches the passage there. Passages of fewer inner words than a
+    run are looked for in each document directly.
     """
-    def runs(text):
+    def split(text):
+        return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+    def runs(tokens):
         gram = lambda t, i: F.xxhash64(*[F.get(t, i + k) for k in range(words)])
-        split = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
         # The words are bound once a row, not split again for each run.
-        return F.transform(F.array(split), lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - words, F.lit(0))), lambda i: gram(t, i)))[0]
-
-    grams = passages.select("item_id", F.explode(runs(F.col("text"))).alias("gram")).distinct()
+        all_runs = F.transform(F.array(tokens), lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - words), lambda i: gram(t, i)))[0]
+        return F.when(F.size(tokens) >= words, all_runs)
+
+    split_up = passages.select("item_id", "text", split(F.col("text")).alias("tokens"))
+    enough = F.size("tokens") >= words + 2
+    inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
+    # Passages of one item_id are asked for by a run each.
+    grams = split_up.where(enough).select("item_id", F.xxhash64("text").alias("passage"), F.explode(runs(inner)).alias("gram")).distinct()
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    key = grams.join(often, "gram").groupBy("item_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    key = grams.join(often, "gram").groupBy("item_id", "passage").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     # The keys of a benchmark select few runs of the documents; Spark broadcasts them where they are small.
-    asked = documents.select("doc_id", F.explode(F.array_distinct(runs(F.col("text")))).alias("gram"))
-    return asked.join(key, "gram").select("doc_id", "item_id").distinct()
+    asked = documents.select("doc_id", F.explode(F.array_distinct(runs(split(F.col("text"))))).alias("gram"))
+    short = split_up.where(~enough).select("item_id", F.col("text").alias("quote"))
+    direct = documents.join(F.broadcast(short), F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
+    return asked.join(key, "gram").select("doc_id", "item_id").unionByName(direct).distinct()
+
+
+def _passages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return sql(spark, sf_dir, "SELECT d.doc_id, d.text FROM documents d"), sql(spark, sf_dir, "SELECT b.item_id, b.text FROM benchmark b")
 
 
-def _passages(spark, sf_dir) -> DataFrame:
-    items = sql(spark, sf_dir, "SELECT b.item_id, b.text FROM benchmark b")
-    found = sql(spark, sf_dir, "SELECT d.doc_id, d.text FROM documents d")
-    pairs = containing(found, items)
-    return pairs.join(found, "doc_id").join(items.withColumnRenamed("text", "quote"), "item_id")
+def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs of document and passage, with their texts, of which the document holds the passage to the letter."""
+    rows = containing(documents, passages).join(documents, "doc_id").join(passages.withColumnRenamed("text", "quote"), "item_id")
+    return rows.where(F.col("text").contains(F.col("quote")))
 
 
 @query("q27_passage_exact", "SELECT d.doc_id, b.item_id, 'found' AS verdict FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q27(spark, sf_dir):
-    rows = _passages(spark, sf_dir).where(F.col("text").contains(F.col("quote")))
-    return rows.select("doc_id", "item_id", c.quote_verdict(F.lit(True), F.lit("full"), F.lit(100.0)).alias("verdict"))
+    return holding(*_passages(spark, sf_dir)).select("doc_id", "item_id", c.quote_verdict(F.lit(True), F.lit("full"), F.lit(100.0)).alias("verdict"))
 
 
 @query("q28_passage_fuzzy")
 def q28(spark, sf_dir):
     """Passages that a document holds more or less, by similarity. A passage of which no run of words is left is not asked about."""
-    rows = _passages(spark, sf_dir).withColumn("match", find_passage("quote", "text"))
+    found, items = _passages(spark, sf_dir)
+    rows = containing(found, items).join(found, "doc_id").join(items.withColumnRenamed("text", "quote"), "item_id").withColumn("match", find_passage("quote", "text"))
     return rows.select("doc_id", "item_id", F.col("match.similarity").alias("similarity"), c.quote_verdict(F.lit(True), F.lit("excerpt"), "match.similarity").alias("verdict"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from refsift.functions import columns as c
 from refsift.functions import text as t
 from refsift.operators import corpora, extract, quotes, titles, verify
-from refsift.plans import calibration, decisions
+from refsift.plans import calibration, decisions, references
 from refsift.plans.evidence import summary
 from refsift.sinks import guards, report
 from refsift.sources import authorities, documents, tables
@@ -235,3 +235,15 @@ def test_nearest_titles_are_those_of_brute_force(spark, monkeypatch):
     for i, a in rows:
         scores = [(-s, j) for j, b in rows if i != j and (s := t.title_similarity(a, b)) is not None and s <= 92]
         assert sorted(got.get(i, []))[:2] == sorted(scores)[:2]
+
+
+def test_exact_passages_are_those_of_brute_force(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota".split()
+    passages = [" ".join(words[:n]) for n in range(1, 10)] + ["", " beta gamma\ndelta  epsilon zeta eta ", "eta theta iota kappa lambda mu", "alphabet"]
+    items = [*enumerate(passages), (3, "a second text of item three here"), (99, None)]
+    held = [p for p in passages if len(p) > 1] + ["a second text of item three here"]
+    texts = [lead + p + tail for p in held for lead, tail in (("", ""), ('see "', '".'), ("x ", " y"), ("(pre", "post)"))] + ["none", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = references.holding(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()
+    want = [(i, j) for i, x in enumerate(texts) for j, p in items if x is not None and p is not None and p in x]
+    assert sorted(map(tuple, got)) == sorted(want)
