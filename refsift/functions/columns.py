@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 # The normal quantile and the thresholds of decisions.
 Z = 1.959963984540054
 MISMATCH, STRONG, YEAR_TOLERANCE = 66.0, 85.0, 2
+SURE, LEAST_PLAUSIBLE = 90.0, 75.0
 QUOTE_MATCH = 88.0
 MIN_CHECKS, MAX_WIDTH = 30, 0.15
 
@@ -57,7 +58,7 @@ def assess(similarity, overlap) -> Column:
 
 def plausible(similarity, overlap) -> Column:
     sim = F.coalesce(col(similarity), F.lit(0.0))
-    return (sim >= 90) | ((sim >= 75) & F.coalesce(col(overlap) >= 0.5, F.lit(False)))
+    return (sim >= SURE) | ((sim >= LEAST_PLAUSIBLE) & F.coalesce(col(overlap) >= 0.5, F.lit(False)))
 
 
 def years_agree(claimed, resolved) -> Column:

@@ -5,10 +5,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from . import titles
 
 DOI_SYNTAX = r"^10\.\d{4,9}/\S+$"
 MIN_TITLE = 15
-CANDIDATES = 5
 
 
 def two_stage(citations: DataFrame, first: DataFrame, second: DataFrame, use_second: bool = True) -> DataFrame:
@@ -58,27 +58,17 @@ def url_verdict(status, enabled: bool = True) -> Column:
     return F.when(status == "hit", "verified").when(status == "miss", "not_found").otherwise("unreachable")
 
 
-def candidates(claims: DataFrame, works: DataFrame, common: int) -> DataFrame:
-    """Up to CANDIDATES works for each claim (claim_id, claimed_title), by the number of title words they share.
+def candidates(claims: DataFrame, works: DataFrame, common: int | None = None, least: float = c.LEAST_PLAUSIBLE) -> DataFrame:
+    """All works for each claim (claim_id, claimed_title) that are similar enough, by the number of title words they share.
 
-    Claims and works meet on words; a word of more than ``common`` works doesn't
-    bring candidates by itself, but counts once a rarer one has. A title of
-    common words alone is matched on all of them together. Titles under
-    MIN_TITLE characters aren't searched.
+    No work of a similarity of at least ``least`` is left out, whatever words it
+    shares; below LEAST_PLAUSIBLE none is plausible. ``common`` limited the words
+    that bring candidates, and has no effect any more. Titles under MIN_TITLE
+    characters aren't searched.
     """
-    words = lambda t: F.array_distinct(F.filter(F.split(c.plain(t), " "), lambda w: w != ""))
-    w = works.select("work_id", "title", words("title").alias("words"))
-    q = claims.where(F.length("claimed_title") >= MIN_TITLE).select("claim_id", "claimed_title", words("claimed_title").alias("claimed_words"))
-    posting = w.select("work_id", F.explode("words").alias("word"))
-    rare = posting.groupBy("word").count().where(F.col("count") <= common).select("word")
-    keyed = w.select("*", F.explode("words").alias("word")).join(rare, "word")
-    asked = q.select("*", F.explode("claimed_words").alias("word"))
-    met = asked.join(keyed, "word").select("claim_id", "claimed_title", "work_id", "title", F.size(F.array_intersect("claimed_words", "words")).alias("shared")).distinct()
-    whole = lambda d, name: d.withColumn("key", F.array_join(F.array_sort(name), " "))
-    same = whole(q, "claimed_words").join(whole(w, "words"), "key").select("claim_id", "claimed_title", "work_id", "title", F.size("words").alias("shared"))
-    met = met.unionByName(same).distinct()
+    asked = claims.where(F.length("claimed_title") >= MIN_TITLE).select("claim_id", "claimed_title")
     rank = Window.partitionBy("claim_id").orderBy(F.desc("shared"), "work_id")
-    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= CANDIDATES)
+    return titles.at_least(asked, works, least).withColumn("rank", F.row_number().over(rank))
 
 
 def first_plausible(scored: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ class Verifier:
     """Checks citations by kind against snapshots; one that is None is a disabled check.
 
     Documents' texts never leave the plan; a bad row becomes a finding, not an error.
+    ``common`` has no effect any more: a search compares a title with all works.
     """
 
     first: DataFrame | None = None
@@ -102,7 +103,7 @@ class Verifier:
         claims = rows.select("claim_id", "claimed_title", "claimed_authors").dropDuplicates(["claim_id"])
         met = verify.candidates(claims.select("claim_id", "claimed_title"), works, self.common)
         met = met.join(claims.select("claim_id", "claimed_authors"), "claim_id").join(works.select("work_id", "authors"), "work_id")
-        met = met.withColumn("similarity", title_similarity("claimed_title", "title")).withColumn("overlap", c.author_overlap(_lower("claimed_authors"), _lower("authors")))
+        met = met.withColumn("overlap", c.author_overlap(_lower("claimed_authors"), _lower("authors")))
         best = verify.first_plausible(met).where("accepted is not null").select("claim_id", F.col("accepted").alias("work_id"))
         best = best.join(works.select("work_id", *[F.col(n.removeprefix("resolved_")).alias(n) for n in _FOUND]), "work_id")
         return rows.join(best, "claim_id", "left")

@@ -247,3 +247,23 @@ def test_exact_passages_are_those_of_brute_force(spark):
     got = references.holding(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()
     want = [(i, j) for i, x in enumerate(texts) for j, p in items if x is not None and p is not None and p in x]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_candidates_are_those_of_brute_force(spark):
+    rows = common_titles()
+    works = spark.createDataFrame(rows, "work_id long, title string")
+    claims = [(1, "Smal red ring of steels"), (2, "blue bolts of brass"), (3, "SMALL RED RING OF STEEL"), (4, "gear of brass red"), (5, "short"), (6, "nothing at all alike here"), (7, "redd riing off steeel"), (8, None)]
+    got = verify.candidates(spark.createDataFrame(claims, "claim_id long, claimed_title string"), works, 2).collect()
+    want = {(i, j): s for i, a in claims for j, b in rows if a and len(a) >= verify.MIN_TITLE and (s := t.title_similarity(a, b)) is not None and s >= 75}
+    assert {(r.claim_id, r.work_id): r.similarity for r in got} == want and len(got) == len(want)
+    assert {i for i, _ in want} == {1, 2, 3, 4, 7}
+
+
+def test_search_finds_a_misspelt_title_of_common_words(spark):
+    from refsift.verifier import WORK, Verifier
+
+    works = [(i, name, ["Smith"], 2001) for i, name in common_titles() if name]
+    text = "References\n[1] Smith, J. (2001). Smal red ring of steel. Journal of X.\n[2] Smith, J. (2001). Wholly different matters of law. Journal of X."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = Verifier(works=spark.createDataFrame(works, WORK), common=2).findings(docs).where("kind = 'bibliographic'").collect()
+    assert {r.claimed_title: r.verdict for r in found} == {"Smal red ring of steel": "verified", "Wholly different matters of law": "not_found"}
