@@ -1,11 +1,16 @@
 """Quotations, what they rely on, and whether their source has them."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import columns as c
+from ..functions.passages import Passages
 from ..functions.udfs import find_passage
+from . import titles
 from .extract import LINE_END
 
 # Quotation marks and lengths, markers, headings.
@@ -13,6 +18,8 @@ QUOTE = '(?s)"([^"]{40,600})"|“([^”]{40,600})”|«([^»]{40,600})»'
 MARKER = r"^[\s.,;:]*(?:\[(\d{1,3})\]|\((\d{1,3})\)|\^(\d{1,3}))"
 HEADING = r"(?i)^\s*(?:#+\s*)?(?:\d+\.?\s*)?(references|bibliography|works cited|sources|citations)\s*:?\s*$"
 MIN_WORDS, TAIL = 8, 40
+# Texts and passages that meet in one step.
+TEXTS, PASSAGES = 64, 256
 
 
 def body(docs: DataFrame) -> DataFrame:
@@ -84,3 +91,23 @@ def best_source(candidates: DataFrame) -> DataFrame:
     least = F.when(F.col("origin") == "arxiv-source", 200).when(F.col("origin") == "arxiv-abstract", 21).otherwise(20)
     enough = candidates.where(F.size(F.split(c.squeeze("source_text"), " ")) >= least)
     return enough.groupBy("identifier").agg(F.min_by(F.struct("origin", "coverage", "source_text"), rank).alias("s")).select("identifier", "s.*")
+
+
+def similar(documents: DataFrame, passages: DataFrame, least: float = c.QUOTE_MATCH) -> DataFrame:
+    """All pairs of document (doc_id, text) and passage (item_id, text) of at least that similarity: doc_id, item_id, similarity.
+
+    Every passage is looked for in every document; see Passages for what is spared.
+    """
+    (a, n), (b, m) = titles.dealt(documents, TEXTS, "documents", "doc_id", "text"), titles.dealt(passages, PASSAGES, "passages", "item_id", "text")
+    kind = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("item_id", passages.schema["item_id"].dataType), T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts, asked = batch.column("documents")[i].as_py(), batch.column("passages")[i].as_py()
+                held = Passages([p["text"] for p in asked], least).held([d["text"] for d in texts])
+                yield pa.RecordBatch.from_pylist([{"doc_id": texts[k]["id"], "item_id": asked[j]["id"], "similarity": s} for k, j, s in held], schema=arrow)
+
+    pairs = a.crossJoin(b).repartition(min(titles.TASKS, n * m), "documents_block", "passages_block")
+    return pairs.select("documents", "passages").mapInArrow(run, kind)

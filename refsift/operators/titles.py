@@ -28,8 +28,8 @@ class Titles:
     """
 
     def __init__(self, rows):
-        """rows: work (id) and title; those without a word are like nothing."""
-        rows = [(r, n) for r in rows if (n := t.normalise_title(r["title"]))]
+        """rows: id and text, a title; those without a word are like nothing."""
+        rows = [(r, n) for r in rows if (n := t.normalise_title(r["text"]))]
         self.rows, self.plain = [r for r, _ in rows], [n for _, n in rows]
         bags = [set(n.split()) for n in self.plain]
         self.words = np.array([len(b) for b in bags], dtype=np.int64)
@@ -81,26 +81,28 @@ class Titles:
             for i in np.argsort(-bound, kind="stable"):
                 if len(best) == k and bound[i] < -best[-1][0]:
                     break
-                if (row := self.rows[i])["work"] != claim:
+                if (row := self.rows[i])["id"] != claim:
                     score = float(bound[i]) if exact[i] else t.token_set_ratio(plain, self.plain[i])
                     if score <= most:
-                        best = sorted([*best, (-score, row["work"], i)])[:k]
+                        best = sorted([*best, (-score, row["id"], i)])[:k]
             for score, _, i in best:
                 yield self.rows[i], -score, int(shared[i])
 
 
+def dealt(rows: DataFrame, size: int, name: str, key: str, text: str) -> tuple[DataFrame, int]:
+    """Blocks of about ``size`` rows, as arrays of id and text, and how many there are."""
+    n = max(1, ceil(rows.count() / size))
+    row = F.struct(F.col(key).alias("id"), F.col(text).alias("text"))
+    return rows.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias(name + "_block"), row.alias("row")).groupBy(name + "_block").agg(F.collect_list("row").alias(name)), n
+
+
 def _meet(claims: DataFrame, works: DataFrame, find) -> DataFrame:
     """What find(titles, claim, title) yields of each claim (claim_id, claimed_title) and block of works (work_id, title), with their titles.
 
     Each block of claims meets each block of works once, in a row of its own; a
     row's size is fixed, and rows are dealt to as many tasks as there are, up to TASKS.
     """
-    def blocks(rows, size, name, *columns):
-        n = max(1, ceil(rows.count() / size))
-        dealt = rows.select(F.pmod(F.xxhash64(*columns), F.lit(n)).alias(name + "_block"), F.struct(F.col(columns[0]).alias("work"), F.col(columns[1]).alias("title")).alias("row"))
-        return dealt.groupBy(name + "_block").agg(F.collect_list("row").alias(name)), n
-
-    (a, n), (b, m) = blocks(claims, CLAIMS, "claims", "claim_id", "claimed_title"), blocks(works, WORKS, "works", "work_id", "title")
+    (a, n), (b, m) = dealt(claims, CLAIMS, "claims", "claim_id", "claimed_title"), dealt(works, WORKS, "works", "work_id", "title")
     kind = T.StructType([
         T.StructField("claim_id", claims.schema["claim_id"].dataType), T.StructField("claimed_title", T.StringType()), T.StructField("work_id", works.schema["work_id"].dataType),
         T.StructField("title", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("shared", T.IntegerType()),
@@ -112,7 +114,7 @@ def _meet(claims: DataFrame, works: DataFrame, find) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("claims", "works")}
                 titles = Titles(row["works"])
-                found = [dict(zip(names, (c["work"], c["title"], w["work"], w["title"], s, k))) for c in row["claims"] for w, s, k in find(titles, c["work"], c["title"])]
+                found = [dict(zip(names, (c["id"], c["text"], w["id"], w["text"], s, k))) for c in row["claims"] for w, s, k in find(titles, c["id"], c["text"])]
                 for at in range(0, len(found), 10_000):
                     yield pa.RecordBatch.from_pylist(found[at : at + 10_000], schema=arrow)
 

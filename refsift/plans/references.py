@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions.udfs import find_passage, is_author_list, is_personal_name, is_title, title_of, title_similarity
+from ..functions.udfs import is_author_list, is_personal_name, is_title, title_of, title_similarity
 from ..operators import corpora, extract, quotes, titles, verify
 from .registry import query, sql, with_
 
@@ -201,10 +201,9 @@ def q27(spark, sf_dir):
 
 @query("q28_passage_fuzzy")
 def q28(spark, sf_dir):
-    """Passages that a document holds more or less, by similarity. A passage of which no run of words is left is not asked about."""
-    found, items = _passages(spark, sf_dir)
-    rows = containing(found, items).join(found, "doc_id").join(items.withColumnRenamed("text", "quote"), "item_id").withColumn("match", find_passage("quote", "text"))
-    return rows.select("doc_id", "item_id", F.col("match.similarity").alias("similarity"), c.quote_verdict(F.lit(True), F.lit("excerpt"), "match.similarity").alias("verdict"))
+    """All passages that a document holds at least nearly enough to count as found, by similarity; edits may be anywhere."""
+    rows = quotes.similar(*_passages(spark, sf_dir))
+    return rows.withColumn("verdict", c.quote_verdict(F.lit(True), F.lit("excerpt"), "similarity"))
 
 
 _SOURCES = "SELECT cast(d.doc_id % 100 AS string) AS identifier, CASE d.doc_id % 4 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' WHEN 2 THEN 'arxiv-abstract' ELSE 'arxiv-source' END AS origin, d.doc_id, d.text AS source_text, CASE d.doc_id % 4 WHEN 3 THEN 'excerpt' ELSE 'abstract' END AS coverage FROM documents d"

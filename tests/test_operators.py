@@ -267,3 +267,19 @@ def test_search_finds_a_misspelt_title_of_common_words(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = Verifier(works=spark.createDataFrame(works, WORK), common=2).findings(docs).where("kind = 'bibliographic'").collect()
     assert {r.claimed_title: r.verdict for r in found} == {"Smal red ring of steel": "verified", "Wholly different matters of law": "not_found"}
+
+
+def test_fuzzy_passages_are_those_of_brute_force(spark):
+    """Edits at every place, in every third word and in every word; short, empty and missing texts."""
+    passage = "The committee found that several earlier reports had been written without any regard for evidence, and withdrew them."
+    words = passage.split()
+    every = lambda n: " ".join(w[:-1] if i % n == 0 and len(w) > 2 else w for i, w in enumerate(words))
+    edited = [" ".join([*words[:i], w, *words[i + 1 :]]) for i in range(len(words)) for w in ("", "changed", words[i][:2] + " " + words[i][2:])]
+    filler = "Of other things there is more to be said than fits on this page. " * 3
+    texts = [filler + p + " " + filler for p in [passage, *edited, every(3), every(1), words[0]]] + [filler * 8 + passage.upper(), passage[:60], "", None, "to be", filler]
+    items = [(1, passage), (2, "to be"), (3, "of others"), (4, ""), (5, None), (6, passage + " " + filler)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quotes.similar(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, j): s for i, x in enumerate(texts) for j, q in items if (s := t.find_passage(q, x)[0]) >= 88}
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == want and len(got) == len(want)
+    assert {(i, 1) for i in range(len(edited) + 2)} <= set(want)
