@@ -12,8 +12,15 @@ document have, needs no comparison: all its windows are repeated. So strings
 travel only for minimisers with different strings; bitmaps of fixed size tell
 which those are (bits that coincide cost work, not results; the count itself is
 looked up exactly). A task sends a string once, and equal strings of several
-tasks are merged before they go to their bucket. A minimiser with over HOT
-different strings has its windows spread one by one by their digests.
+tasks are merged before they go to their bucket.
+
+A bucket of over BUCKET different strings is split, still as packed strings. A
+window of it has the minimiser at some place from lo to hi. That range is cut in
+PARTS, and the windows of a string whose places lie in one part travel as one
+string to the bucket named by the words that all windows of the part hold: a
+longer minimiser, of WINDOW words less the width of the part. Equal windows have
+their minimiser at the same place, so they meet again. Buckets that are still
+large are split again; after three times a bucket is a single window.
 """
 from __future__ import annotations
 
@@ -25,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_rows, release, stored, whole
+from .common import cut, long_rows, release, stored, whole
 
 WINDOW, GRAM = 35, 8
 #: Bits of a map of minimisers, as a power of two: 32 MB, at any size of the data.
 MAP_BITS = 28
 _SLICE_BITS = 20
-HOT = 1000
+#: Different strings that are compared in one bucket; more are split.
+BUCKET = 1000
+#: Parts of a range of places when a bucket is split, and tasks over which it is dealt for that.
+PARTS, SALTS = 4, 32
 #: Digests of strings that a task remembers to have sent.
 SENT = 500_000
 _BLANK = np.zeros(256, bool)
@@ -95,6 +105,14 @@ def super_kmers(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return first, np.diff(np.r_[first, len(best)]), grams[best[first]]
 
 
+def place_of_minimiser(packed: bytes) -> int:
+    """The number of the word where the minimiser that all windows of a packed string share begins."""
+    starts, ends = word_bounds(packed)
+    words = _ranges(np.frombuffer(packed, np.uint8).astype(np.uint64), _BYTES, starts, ends)
+    at = np.arange(WINDOW - GRAM + 1)
+    return int(np.argmin(_ranges(words, _GRAMS, at, at + GRAM)))
+
+
 def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
     """Number, bytes and word bounds of the texts that have a window."""
     for i, text in enumerate(batch.column(column)):
@@ -253,7 +271,7 @@ def _repeats(group: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[bytes, lis
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (minimiser, digest, n, packed) sorted by minimiser; a group has HOT rows at most."""
+    """Rows (minimiser, digest, n, packed) sorted by minimiser; a group has BUCKET rows at most."""
     key, group = None, []
     for batch in batches:
         found = []
@@ -277,31 +295,74 @@ def _places(found: list[tuple[bytes, list[int]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array(spans, kind)], ["digest", "spans"])
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of packed strings (digest, n, packed)."""
+def _pieces(packed: bytes, at: int, lo: int, hi: int) -> Iterator[tuple[int, int, bytes, int, int, int]]:
+    """The string cut up by the place of its minimiser, which is word number at of it, in its windows.
+
+    Of each part (a to b) of the places lo to hi: the first window, the bucket, the string, the number of its minimiser, a and b.
+    """
+    import xxhash
+
+    edge, found = [0], packed.find(b" ")
+    while found >= 0:
+        edge.append(found + 1)
+        found = packed.find(b" ", found + 1)
+    edge.append(len(packed) + 1)
+    words, width = len(edge) - 1, -(-(hi - lo + 1) // PARTS)
+    for a in range(lo, hi + 1, width):
+        b = min(a + width - 1, hi)
+        least, most = max(a, at + WINDOW - words), min(b, at)
+        if least <= most:
+            every = packed[edge[at - a] : edge[at - b + WINDOW] - 1]
+            bucket = xxhash.xxh3_64_intdigest(every, a * WINDOW + b)
+            yield at - most, bucket - (bucket >> 63 << 64), packed[edge[at - most] : edge[at - least + WINDOW] - 1], most, a, b
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of strings (digest, n, packed, at, lo, hi); at is null if it is to be found."""
     import xxhash
 
     for batch in batches:
-        digests, places, windows, times = [], [], [], []
-        for digest, n, packed in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            found = [xxhash.xxh3_128_digest(w) for w in _windows(packed)]
-            digests += [digest] * len(found)
-            places += range(len(found))
-            windows += found
-            times += [n] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.int32()), pa.array(windows, pa.binary()), pa.array(times, pa.int64())], ["digest", "place", "window", "n"])
-
-
-def repeats(distinct: DataFrame) -> DataFrame:
-    """digest and spans (of its windows that occur elsewhere) of a written table of different packed strings (minimiser, digest, n, packed)."""
-    hot = distinct.groupBy("minimiser").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("minimiser")
-    cold = distinct.join(hot, "minimiser", "left_anti").select("minimiser", "digest", "n", "packed")
-    cold = cold.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count, "digest binary, spans array<struct<lo:int,hi:int>>")
-    spread = distinct.join(hot, "minimiser", "left_semi").select("digest", "n", "packed").mapInArrow(_single, "digest binary, place int, window binary, n long")
-    again = spread.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    span = F.struct(F.col("place").alias("lo"), F.col("place").alias("hi"))
-    spread = spread.join(again, "window", "left_semi").groupBy("digest").agg(F.collect_list(span).alias("spans"))
-    return cold.unionByName(spread)
+        rows: list[tuple] = []
+        for digest, n, packed, at, lo, hi in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            if at is None:
+                at = place_of_minimiser(packed)
+            for first, bucket, piece, place, a, b in _pieces(packed, at, lo, hi):
+                rows.append((digest, first, bucket, xxhash.xxh3_128_digest(piece + bytes([place, a, b])), n, piece, place, a, b))
+        kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _PIECES)
+
+
+_PIECES = ["parent", "shift", "minimiser", "digest", "n", "packed", "at", "lo", "hi"]
+
+
+def repeats(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """digest and spans (of its windows that occur elsewhere) of a written table of different packed strings.
+
+    distinct: minimiser, digest, n (times), packed, at (the number of the word where the minimiser begins, or null), lo and hi
+    (its first and last possible place in a window). A digest may come in several rows.
+    """
+    hot = cut(distinct.where("lo < hi").groupBy("minimiser").agg(F.count("*").alias("m")).where(F.col("m") > bucket).select("minimiser"))
+    large = not hot.isEmpty()
+    if large:
+        # Salted, so that one minimiser's strings are looked up in SALTS tasks.
+        hot = hot.select("minimiser", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = distinct.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+        distinct = salted.join(hot, ["minimiser", "salt"], "left_anti")
+    cold = distinct.select("minimiser", "digest", "n", "packed").repartition("minimiser").sortWithinPartitions("minimiser")
+    cold = cold.mapInArrow(_count, "digest binary, spans array<struct<lo:int,hi:int>>")
+    if not large:
+        return cold
+    split = salted.join(hot, ["minimiser", "salt"], "left_semi").select("digest", "n", "packed", "at", "lo", "hi").mapInArrow(
+        _split, "parent binary, shift int, minimiser long, digest binary, n long, packed binary, at int, lo int, hi int"
+    )
+    split = stored(split, "pieces", compression="zstd")
+    # Pieces that are equal become one row in each task before they meet.
+    merged = split.groupBy(*_PIECES[2:4], *_PIECES[5:]).agg(F.sum("n").alias("n"))
+    inner = repeats(stored(merged, "distinct", compression="zstd"), bucket)
+    shift = lambda x: F.struct((x["lo"] + F.col("shift")).alias("lo"), (x["hi"] + F.col("shift")).alias("hi"))
+    inner = split.select("parent", "shift", "digest").join(inner, "digest").select(F.col("parent").alias("digest"), F.transform("spans", shift).alias("spans"))
+    return cold.unionByName(inner)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +388,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+def dedup(docs: DataFrame, bits: int = MAP_BITS, bucket: int = BUCKET) -> DataFrame:
     """Remove each word that a repeated window covers from every whole text of docs (doc_id, text).
 
     Returns doc_id, n_words, n_removed and kept_sha256 (of the words kept, joined
@@ -347,13 +408,15 @@ def dedup(docs: DataFrame, bits: int = MAP_BITS) -> DataFrame:
     different = packed.where("digest is not null")
     times = different.groupBy("digest").agg(F.count("*").alias("n"))
     strings = different.where("packed is not null").select("minimiser", "digest", "packed").distinct()
-    distinct = stored(strings.join(times, "digest").select("minimiser", "digest", "n", "packed"), "distinct", compression="zstd")
+    somewhere = [F.lit(None).cast("int").alias("at"), F.lit(0).alias("lo"), F.lit(WINDOW - GRAM).alias("hi")]
+    distinct = stored(strings.join(times, "digest").select("minimiser", "digest", "n", "packed", *somewhere), "distinct", compression="zstd")
     release(spark)
     alike = packed.select("doc_id", "h", "first", "count", "minimiser").join(known.where("not varied"), "minimiser")
     alike = alike.select("doc_id", "h", F.array(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1).alias("hi"))).alias("spans"))
-    found = different.select("doc_id", "h", "first", "digest").join(repeats(distinct), "digest")
+    found = different.select("doc_id", "h", "first", "digest").join(repeats(distinct, bucket), "digest")
     shift = lambda x: F.struct((x["lo"] + F.col("first")).alias("lo"), (x["hi"] + F.col("first")).alias("hi"))
     found = alike.unionByName(found.select("doc_id", "h", F.transform("spans", shift).alias("spans")))
-    cuts = found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("cuts")).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "cuts")
+    cuts = found.groupBy("doc_id", "h").agg(F.flatten(F.collect_set("spans")).alias("cuts")).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "cuts")
+    cuts = stored(cuts, "cuts", compression="zstd")  # as a table, so that Spark may split the texts of one key
     joined = rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["_doc_id"]) & (rows["h"] == cuts["_h"]), "left")
     return joined.select("doc_id", "text", "cuts").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")

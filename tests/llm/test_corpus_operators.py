@@ -254,15 +254,28 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot, bits", [(1000, 28), (1, 28), (1000, 4)])
-def test_substring_dedup(docs, rows, monkeypatch, hot, bits):
-    monkeypatch.setattr(substring, "HOT", hot)
-    found = substring.dedup(docs, bits).collect()
+@pytest.mark.parametrize("bucket, bits", [(1000, 28), (1, 28), (1000, 4)])
+def test_substring_dedup(docs, rows, bucket, bits):
+    found = substring.dedup(docs, bits, bucket).collect()
     want = brute_repeats([(i, t) for i, t, _, _ in rows], substring.WINDOW)
     same(found, want)
     assert sum(x[2] for x in want) > 300
 
 
+def test_substring_buckets_are_split(spark):
+    """One passage in many contexts: its minimisers have many strings, and so have their longer ones."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(70)]
+    texts = []
+    for i in range(80):
+        about = [" ".join(f"c{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2)]
+        cut = passage[rng.randrange(3) * 10 :] if i % 3 else passage
+        texts.append(f"{about[0]} {' '.join(cut)} {about[1]}")
+    rows = list(enumerate(texts))
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 16, 5).collect()
+    same(got, brute_repeats(rows, substring.WINDOW))
+
+
 # Exact dedup
 
 def test_exact_dedup(docs, rows):
