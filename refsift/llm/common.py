@@ -74,3 +74,23 @@ def let(value: Column, body) -> Column:
 def whole(text: str | Column) -> Column:
     """The text of a row, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+#: A key is hot if it has more than one part in HOT of all rows, so there are under HOT such keys; tasks over which it is dealt.
+HOT, SALTS = 4096, 64
+
+
+def join_spread(rows: DataFrame, side: DataFrame, on: list[str], n: str, salt: Column | None = None) -> DataFrame:
+    """Inner join of rows with side, a written table that has one row for each key and in its column n how many of rows it meets.
+
+    No task gets all rows of a hot key: such keys, fewer than HOT whatever the data, are broadcast to mark their rows,
+    which are dealt over SALTS tasks by salt (a number; by default at random), as are copies of their row in side.
+    The columns of on must not be null. n is dropped; the result has a column _salt.
+    """
+    least = (side.agg(F.sum(n)).first()[0] or 0) // HOT
+    hot = side.where(F.col(n) > least).select(*on, F.lit(True).alias("_hot"))
+    salt = F.xxhash64(F.monotonically_increasing_id()) if salt is None else salt
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(F.broadcast(hot), on, "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(F.lit(0))).drop("_hot")
+    copies = F.when(F.col(n) > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(side.withColumn("_salt", F.explode(copies)).drop(n), [*on, "_salt"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, release, stored, whole
+from .common import BLANK, join_spread, release, stored, whole
 
 SALTS = 16
 
@@ -57,28 +57,32 @@ def assign(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
     Texts are equal when identical without ASCII white space; null is an empty
     text and equals every blank one. Of equal texts the row with most code
-    points stays, then the smallest doc_id; a null doc_id comes last. Rows that
-    repeat both the doc_id and the length of the one that stays are all marked
-    kept (they can't be told apart); only() leaves one of them. An empty table
-    gives an empty result; other columns are ignored.
+    points stays, then the smallest doc_id; a null doc_id comes last. Of rows that
+    repeat both the doc_id and the length of the one that stays, one is marked
+    kept. An empty table gives an empty result; other columns are ignored.
+
+    The way back joins slim rows by digest and length, and deals those of a hot
+    group over tasks by doc_id and length.
     """
-    text = whole("text")
+    text, keys = whole("text"), ["text_sha256", "text_len"]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), normalised(text).alias("norm"), F.length(text).alias("n")
     ).select("doc_id", "n", F.sha2("norm", 256).alias("text_sha256"), F.length("norm").alias("text_len"))
-    joined = rows.join(winners(docs, salts), ["text_sha256", "text_len"])
-    return joined.select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_chars"))).alias("kept"),
-        "text_sha256",
-    )
+    best = stored(winners(docs, salts).withColumn("of", F.col("group_size")), "winners")
+    joined = join_spread(rows, best, keys, "of", F.xxhash64("doc_id", "n"))
+    # The join's own partitions serve the window, as its keys include theirs.
+    nth = F.row_number().over(Window.partitionBy(*keys, "_salt", "doc_id", "n").orderBy("doc_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_chars"))
+    return joined.select("doc_id", "keep_id", "group_size", (stays & (nth == 1)).alias("kept"), "text_sha256")
 
 
 def only(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, one for each distinct normalised text, with all columns.
 
+    The same rules as for assign(): null texts are empty, a null doc_id comes
+    last, and an empty table gives an empty result. Columns may have any names.
     The join is on digest, doc_id and length together, so copies spread over the
-    partitions. Repeated rows of one doc_id collapse to one.
+    partitions. Rows that repeat all three collapse to one, in each task before they travel.
     """
     keys = ["text_sha256", "keep_id", "keep_chars"]
     text = whole("text")
@@ -95,4 +99,4 @@ def only(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         "text_sha256", F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("keep_id"), "keep_chars"
     )
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("row.text")).alias("nth")
-    return rows.join(best, keys, "left_semi").select("row", first).where("nth = 1").select("row.*")
+    return rows.select("*", first).where("nth = 1").join(best, keys, "left_semi").select("row.*")

@@ -93,13 +93,10 @@ ORACLES = {
         WITH d AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n
             FROM documents
-        ), g AS (
-            SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(n) OVER w AS keep_n, count(*) OVER (PARTITION BY norm) AS group_size
-            FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ASC NULLS LAST)
         )
-        SELECT doc_id, keep_id, group_size,
-               doc_id IS NOT DISTINCT FROM keep_id AND n = keep_n AS kept, sha256(norm) AS text_sha256
-        FROM g
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ASC NULLS LAST)
     """,
     "op7_licenses": licenses.oracle(),
 }

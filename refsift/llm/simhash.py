@@ -1,7 +1,7 @@
 """SimHash near-dedup with pivot distance tables.
 
-A fingerprint's Hamming distances to PIVOTS reference fingerprints are computed
-once. By the triangle inequality, two fingerprints whose distances to any pivot
+A fingerprint's Hamming distances to the PIVOTS, reference fingerprints, are computed
+once a bucket. By the triangle inequality, two fingerprints whose distances to any pivot
 differ by more than the threshold differ by more than it themselves. A pair is
 compared only if its largest coordinate difference is within the threshold;
 survivors are verified.
@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, long_rows, whole
+from .common import cut, join_spread, long_rows, whole
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
 #: Reference fingerprints: the fractional parts of multiples of the golden ratio, in 64 bits.
-PIVOTS = [(i * 0x9E3779B97F4A7C15) % 2**64 for i in range(1, 9)]
+PIVOTS = np.array([(i * 0x9E3779B97F4A7C15) % 2**64 for i in range(1, 33)], np.uint64)
 #: Fingerprints of a bucket that are compared as one.
 SPLIT = 4096
 #: Fingerprints for each possible key, at most, when the number of blocks is chosen.
@@ -69,12 +69,13 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def pivot_distances(fp: Column) -> Column:
-    """The distances to all pivots, a byte each, as one number."""
-    packed = F.lit(0).cast("long")
-    for i, p in enumerate(PIVOTS):
-        packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long"), 8 * i))
-    return packed
+def pivot_table(fp: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
+    """The distances of fingerprints to all pivots, a row for each pivot."""
+    return np.bitwise_count(fp[None, :] ^ pivots[:, None]).astype(np.int8)
+
+
+def _first_distance() -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(PIVOTS[0])))))
 
 
 def _masks(bits: list[int], parts: int, agree: int) -> list[int]:
@@ -113,13 +114,14 @@ def _forest(size: int) -> tuple:
 def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links within each bucket.
 
-    The rows are sorted by mask, key and distance to the first pivot; far holds
-    the distances to all pivots.
+    The rows are sorted by mask, key and distance to the first pivot; far is
+    their pivot table. A pair is discarded at the first pivot whose distances
+    differ by more than the threshold.
     """
     n = len(fp)
     labels, join = _forest(n)
     left, step = np.arange(n - 1), 1
-    first = far[:, 0]
+    first = far[0]
     while len(left):
         right = left + step
         meet = (key[left] == key[right]) & (mask[left] == mask[right]) & (first[right] - first[left] <= THRESHOLD)
@@ -127,8 +129,11 @@ def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, far: np.ndarray) ->
         a, b = left, left + step
         apart = labels[a] != labels[b]
         a, b = a[apart], b[apart]
-        near = (np.abs(far[a] - far[b]) <= THRESHOLD).all(axis=1)
-        a, b = a[near], b[near]
+        for pivot in far[1:]:
+            near = np.abs(pivot[a] - pivot[b]) <= THRESHOLD
+            a, b = a[near], b[near]
+            if not len(a):
+                break
         same = np.bitwise_count(fp[a] ^ fp[b]) <= THRESHOLD
         join(a[same], b[same])
         step += 1
@@ -140,7 +145,7 @@ def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, far: np.ndarray) ->
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None
     for batch in batches:
-        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if rest is not None:
             got = [np.concatenate(x) for x in zip(rest, got)]
         mask, key = got[0], got[1]
@@ -154,27 +159,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(got: list[np.ndarray]) -> pa.RecordBatch:
-    mask, key, fp, packed = got
-    far = np.ascontiguousarray(packed).view(np.uint8).reshape(-1, 8).astype(np.int16)
-    a, b = links(mask, key, np.ascontiguousarray(fp).view(np.uint64), far)
+    mask, key, fp = got
+    fp = np.ascontiguousarray(fp).view(np.uint64)
+    a, b = links(mask, key, fp, pivot_table(fp))
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
 def _close(table: DataFrame) -> DataFrame:
-    """Forest edges (a, b) of the fingerprints (fp, far, all distinct) within THRESHOLD bits, cut."""
+    """Forest edges (a, b) of the fingerprints (fp, all distinct) within THRESHOLD bits, cut."""
     spark = table.sparkSession
     masks = _layout(table.count())
-    rows = table.select("fp", "far", F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask"))
+    rows = table.select("fp", F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask"))
     found = None
     while True:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        counts = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        rows = cut(rows.join(counts, ["mask", "key"]))
+        counts = cut(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")))
+        rows = cut(join_spread(rows, counts, ["mask", "key"], "m"))
         # A bucket of few open bits is small by itself and isn't cut again.
         large = (F.col("n") > SPLIT) & (F.bit_count("mask") <= 48)
         edges = (
-            rows.where(~large).select("mask", "key", "fp", "far").repartition("mask", "key")
-            .sortWithinPartitions("mask", "key", F.col("far").bitwiseAND(F.lit(255))).mapInArrow(_compare, "a long, b long")
+            rows.where(~large).select("mask", "key", "fp").repartition("mask", "key")
+            .sortWithinPartitions("mask", "key", _first_distance()).mapInArrow(_compare, "a long, b long")
         )
         found = edges if found is None else found.unionByName(edges)
         rest = rows.where(large)
@@ -184,23 +189,27 @@ def _close(table: DataFrame) -> DataFrame:
         finer = [(p, _signed(p % 2**64 | m)) for p in parents for m in _masks([b for b in range(64) if not p >> b & 1], THRESHOLD + 1, 1)]
         # At most four masks for each one of the layout, at any size of the data.
         finer = F.broadcast(spark.createDataFrame(finer, "mask long, finer long"))
-        rows = rest.join(finer, "mask").select("fp", "far", F.col("finer").alias("mask"))
+        rows = rest.join(finer, "mask").select("fp", F.col("finer").alias("mask"))
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Add m, the least v of all edges of u; the edges of one u need not meet."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
+    return join_spread(edges, least, ["u"], "_n")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the smallest node reachable.
 
     Large-star and small-star steps in turn; a node's neighbours are never
-    gathered, only their minimum is.
+    gathered, only their minimum is, and those of a hot node are dealt over tasks.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u")
+        edges = cut(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small = _with_least(edges)
         edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
@@ -210,12 +219,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(slim: DataFrame) -> DataFrame:
-    """fp, root (of its component) and component_id of each distinct fp of a materialised table (doc_id, fp)."""
-    table = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("far", pivot_distances(F.col("fp"))))
+    """fp, n (of its rows), component_id and keep_fp (the fingerprint with which the document component_id comes; of several the
+    least) of each distinct fp of a materialised table (doc_id, fp); a written table."""
+    table = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(_close(table))
-    table = table.join(roots, table["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = table.groupBy("root").agg(F.min("least").alias("component_id"))
-    return table.join(ids, "root").select("fp", "root", "component_id")
+    table = table.join(roots, table["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", "fp"))
+    ids = cut(table.groupBy("root").agg(first.alias("first"), F.count("*").alias("of")).select("root", "of", F.col("first.least").alias("component_id"), F.col("first.fp").alias("keep_fp")))
+    return cut(join_spread(table, ids, ["root"], "of").select("fp", "n", "component_id", "keep_fp"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -230,20 +241,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     long_rows(docs.sparkSession)
     slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(whole("text")).alias("fp")))
-    return slim.join(grouped(slim), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = join_spread(slim, grouped(slim), ["fp"], "n")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def only(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns: of each component the one with the smallest
-    doc_id; of repeated rows, and of components without a doc_id, one."""
+    doc_id; of repeated rows, and of components without a doc_id, one.
+
+    Nulls and empty tables are as in dedup(); columns may have any names. A text
+    is fingerprinted once; then its row is known by its doc_id and a hash of its text.
+    """
     long_rows(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), fingerprints(whole("text")).alias("fp"))
-    slim = cut(rows.select(F.col("_id").alias("doc_id"), "fp"))
-    best = grouped(slim).select("fp", "root", "component_id")
-    best = slim.distinct().join(best, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Two fingerprints of one component may come with the same doc_id.
-    best = best.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "fp")
-    rows = rows.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    kept = rows.join(best, ["_id", "fp"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_id", "fp").orderBy("row.text"))
-    return kept.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
+    known = [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id"), F.xxhash64(whole("text")).alias("_h")]
+    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *known, fingerprints(whole("text")).alias("fp")))
+    kept = grouped(slim).select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id"), F.col("keep_fp").alias("fp")).distinct()
+    # Texts of one doc_id may have one fingerprint; one of them stays.
+    best = slim.select("_id", "fp", "_h").distinct().join(kept, ["_id", "fp"]).groupBy("_id", "fp").agg(F.min("_h").alias("_h")).select("_id", "_h")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *known)
+    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("row.text"))
+    return rows.select("*", nth.alias("nth")).where("nth = 1").join(best, ["_id", "_h"], "left_semi").select("row.*")
