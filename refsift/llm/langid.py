@@ -9,22 +9,22 @@ since sizes are whole bytes.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import long_rows
 
 UNKNOWN = "und"
-#: Bytes of a dictionary.
-DICTIONARY = 64_000
-#: The training sample: so many texts a language at most, by hash of doc_id, of these lengths.
+#: Bytes of a dictionary, and of all together: with more than TOTAL / DICTIONARY languages, each has a smaller one.
+DICTIONARY, TOTAL = 64_000, 1 << 24
+#: The training sample, its one bound: so many texts a language at most, by hash of doc_id, preferably of these lengths,
+#: and of a longer one a stretch of the larger length, from anywhere in it.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, (200, 4000)
-#: Languages that are learned, those with most rows.
-LANGUAGES = 256
 LEVEL, PIECE = 6, 1000
 #: Below so many bytes a text is short.
 SHORT, SHORT_LEVEL = 300, 19
@@ -33,7 +33,8 @@ MARGIN = 0.02
 #: Code points that are handled at once.
 STEP = 1 << 20
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: Unicode categories L, so neither digits, fractions nor enclosed or Roman numerals.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def canonical(text: str) -> bytes:
@@ -45,19 +46,42 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, size: int = DICTIONARY, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Dictionaries by language from the rows of docs that are not held out and have a lang; LANGUAGES * size bytes at most."""
+def shares(lengths: list[int], size: int) -> list[int]:
+    """How much of each text a dictionary of so many bytes takes: all of the short ones, and of the others the same."""
+    out, left = [0] * len(lengths), size
+    for k, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[i] = min(lengths[i], left // (len(lengths) - k))
+        left -= out[i]
+    return out
+
+
+def dictionary(texts: list[str], size: int) -> bytes:
+    """Training text of all given texts, a share of each, cut between words."""
+    raw = [r for r in map(canonical, texts) if r]
+    parts = [r if len(r) <= n else r[: n + 1].rpartition(b" ")[0] for r, n in zip(raw, shares([len(r) for r in raw], size - len(raw)))]
+    return b"\n".join(p for p in parts if p)
+
+
+def fit(docs: DataFrame, size: int = DICTIONARY, sample: int = SAMPLE_DOCS, total: int = TOTAL) -> dict[str, bytes]:
+    """Dictionaries by language, of all languages, from the rows of docs that are not held out and have a lang.
+
+    A dictionary has size bytes at most, and all of them have total bytes. The
+    sample of a language is joined on the executors; only dictionaries reach the driver.
+    """
     low, high = SAMPLE_CHARS
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    known = known.where(F.col("lang").isin([r["lang"] for r in most]))
-    # Others serve languages that have none of these lengths; a longer text teaches what its beginning does.
-    order = Window.partitionBy("lang").orderBy(~F.length("text").between(low, high), F.xxhash64("doc_id"), "doc_id", "text")
-    rows = known.select("lang", F.substring("text", 1, high).alias("text"), F.row_number().over(order).alias("k")).where(F.col("k") <= sample).orderBy("lang", "k").collect()
-    texts: dict[str, list[bytes]] = {}
-    for r in rows:
-        texts.setdefault(r["lang"], []).append(canonical(r["text"]))
-    return {k: b"\n".join(v)[:size] for k, v in texts.items() if any(v)}
+    size = min(size, total // max(1, known.select("lang").distinct().count()))
+    h = F.xxhash64("doc_id")
+    # Others serve languages that have too few of these lengths.
+    order = Window.partitionBy("lang").orderBy(~F.length("text").between(low, high), h, "doc_id", "text")
+    start = F.pmod(h, F.greatest(F.length("text") - high + 1, F.lit(1))).cast("int") + 1
+    rows = known.select(F.col("lang").cast("string").alias("lang"), F.substring("text", start, F.lit(high)).alias("text"), F.row_number().over(order).alias("k")).where(F.col("k") <= sample)
+
+    def join(of: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": of["lang"].iloc[:1], "dictionary": [dictionary(of.sort_values("k")["text"].tolist(), size)]})
+
+    found = rows.groupBy("lang").applyInPandas(join, "lang string, dictionary binary").collect()
+    return {r["lang"]: bytes(r["dictionary"]) for r in found if r["dictionary"]}
 
 
 class Classifier:
@@ -108,7 +132,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     Rows are independent: repeated rows get equal results, an empty table gives
     an empty one. Other columns are ignored.
     """
-    # A dictionary of DICTIONARY bytes for each language travels with the task.
+    # TOTAL bytes at most.
     shared = long_rows(docs.sparkSession).sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

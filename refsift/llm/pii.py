@@ -3,7 +3,7 @@
 Four base kinds are always reported: e-mail addresses, IPv4 addresses, payment
 cards of 16 to 19 digits that pass Luhn, and international phone numbers. Three
 further kinds are reported if their score reaches THRESHOLD: bank account
-numbers (iban, mod 97), payment cards of 13 to 15 digits (short_card, Luhn) and
+numbers (iban, of their country's length, mod 97), payment cards of 13 to 15 digits (short_card, Luhn) and
 social security numbers (ssn). Their scores start at BASE, and words within
 NEAR code points of a span raise or lower them.
 
@@ -46,7 +46,15 @@ _DIGIT = re.compile(r"[0-9]")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
+#: How many letters and digits the account numbers of each country have.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -67,6 +75,25 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """International bank account numbers: as long as their country has them, single spaces between groups, passing mod 97."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        left, at = IBAN_LENGTHS.get(m[1], 0) - 4, m.end()
+        if left < 0 or m.start() < free:
+            continue
+        while left and at < len(text):
+            if text[at] == " ":
+                at += 1
+            if not (text[at : at + 1].isascii() and (text[at : at + 1].isdigit() or text[at : at + 1].isupper())):
+                break
+            at, left = at + 1, left - 1
+        after = text[at : at + 1]
+        if not left and not (after.isascii() and after.isalnum()) and mod97(text[m.start() : at]):
+            free = at
+            yield m.start(), at
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """What [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ finds, going from each @ to both sides."""
     free, at = 0, text.find("@")
@@ -117,7 +144,7 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     for m in _PHONE.finditer(text) if "+" in text else ():
         if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
             base.append(("phone", *m.span()))
-    ibans = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group())]
+    ibans = [("iban", *s) for s in accounts(text)]
     ssns = [("ssn", *m.span()) for m in _SSN.finditer(text)]
     if proposed := ibans + short + ssns:
         taken = sorted((s, e) for _, s, e in base)

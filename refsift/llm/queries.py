@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, exact, langid, licenses, mixing, pii, quality, simhash, substring, tokens
 from .common import table
@@ -19,8 +20,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data in each document."""
-    return pii.find(table(spark, sf_dir, "documents")).drop("scores")
+    """Spans of personal data in each document, and the score of each."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.withColumn("scores", F.array_join(F.transform("scores", lambda x: F.format_number(x, 2)), ","))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

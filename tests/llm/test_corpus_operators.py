@@ -172,6 +172,15 @@ def test_pii_checks_and_context(docs, rows):
     assert base == [] and [k for k, _, _ in added] == ["iban", "short_card", "ssn", "ssn"]
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82WEST12345698765432")
     r = {x.doc_id: x for x in pii.find(docs).collect()}
+    for text, span in (("ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", (0, 29)), ("to PL61 1090 1014 0000 0712 1981 2874 PLN", (3, 37)), ("GB82WEST12345698765432", (0, 22))):
+        assert list(pii.accounts(text)) == [span], text
+    for text in ("XX82 WEST 1234 5698 7654 32", "aGB82WEST12345698765432", "GB82WEST12345698765432a", "GB82WEST123456987654", "GB82", ""):
+        assert list(pii.accounts(text)) == [], text
+    # A hint lifts a span over the threshold, a doubt holds one down.
+    kinds = lambda t: [k for k, _, _ in pii.spans(t)[1]]
+    assert kinds("378282246310005") == [] and kinds("visa 378282246310005") == ["short_card"] and kinds("visa order 378282246310005") == []
+    assert kinds("GB82WEST12345698765432") == ["iban"] and kinds("serial GB82WEST12345698765432") == [] and kinds("serial of account GB82WEST12345698765432") == ["iban"]
+    assert pii.scored("email", "contact a@b.c", 8, 13) == 1.0 and pii.scored("email", "version a@b.c", 8, 13) == pytest.approx(0.6)
     assert len(r) and r[62].n_email == 0 and r[62].base_sha256 == hashlib.sha256(b"").hexdigest() and r[62].spans == ""
 
 
@@ -362,6 +371,40 @@ def test_languages(spark):
     assert got[None].held_out  # the text of no id is empty, and its crc32 0
 
 
+def test_language_needs_letters_and_learns_all(spark):
+    """Numerals of any kind are no letters; each of 300 languages is learned, within the bound of all dictionaries."""
+    rows = [(i * 7 + k, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} " * 60, f"l{i}") for i in range(300) for k in range(3)]
+    rows += [(9000 + i, t, "l1") for i, t in enumerate(["½", "② Ⅷ ¼ 12", "_ 7"])]
+    docs = spark.createDataFrame([(*r, "h", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, score int").repartition(3)
+    known = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    found = langid.fit(docs, total=300 * 100)
+    assert set(found) == known and all(0 < len(d) <= 100 for d in found.values())
+    got = {r.doc_id: r for r in langid.identify(docs.unionByName(docs.limit(0))).collect()}
+    assert [got[9000 + i].lang_pred for i in range(3)] == ["und"] * 3
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows[:900] if lang in known) > 850
+
+
+def test_language_by_recomputed_sizes(spark):
+    """Predictions are those of a plain loop over all dictionaries; dictionaries take a share of each text."""
+    import zstandard
+
+    rng = random.Random(2)
+    texts = [words_of(rng, rng.choice([60, 300, 900]), 40 + 40 * (i % 3)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, f"l{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    learned = langid.fit(docs, size=900)
+    assert all(800 < len(d) <= 900 for d in learned.values())
+    assert langid.dictionary(["aa bb " * 50, "cc", "1"], 40).split(b"\n") == [(b"aa bb " * 6)[:35], b"cc"]
+    for r in langid.predict(docs, learned).collect():
+        raw, sizes = langid.canonical(texts[r.doc_id]), {}
+        if len(raw) < langid.SHORT:
+            continue
+        for name, d in learned.items():
+            pack = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(pack.compress(raw[k : k + langid.PIECE])) for k in range(0, len(raw), langid.PIECE))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == best and r.score == pytest.approx((second - best) / second)
+
+
 def test_learns_nothing_from_rows_held_out(spark):
     rows = [(i, "foo bar", "xx") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0] + [(1, "foo bar", None)]
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"und"}
