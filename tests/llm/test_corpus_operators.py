@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, with nulls, empty and repeated rows, empty tables and clashing columns."""
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -323,10 +324,29 @@ def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
     changed = "Copyright (c) 2020 Someone\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ;")
     texts = [mit, changed, mit + " more", "Some prose.\nReleased under the MIT License.\nmore\nLicensed under CC BY-NC 4.0.", None, "", mit]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
-    got = sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)
-    assert [r.license for r in got] == ["MIT", "MIT", None, None, None, None, None, "MIT"]
+    texts += ["About this.\n\n" + mit + "\n \nAnd more prose.", "# " + licenses.HEADERS["GPL-3.0"][1].replace("\n", "\n# ") + "\n\nimport os", "acme license 1\n\nDo as you like. It is fine.", "Prose.\n\n/* " + licenses.HEADERS["Apache-2.0"][0].replace("\n\n", "\n") + " */\n\nint x;", mit + "\n\nfiller words" * 20_000]
+    docs = spark.createDataFrame([(i, t, "d", 1, "x", "y") for i, t in enumerate(texts)] + [(3, texts[3], "d", 1, "x", "y")], "doc_id long, text string, digest string, h int, license string, kind string")
+    got = sorted(licenses.scan(docs, [("Acme-1", "ACME LICENCE 1\n\nDo as you like; it is fine!")]).collect(), key=lambda r: r.doc_id)
+    assert [r.license for r in got] == ["MIT", "MIT", None, None, None, None, None, "MIT", None, None, "Acme-1", None, None]
     assert [(r.n_notices, r.notices) for r in got if r.doc_id == 3] == [(2, "CC-BY-NC-4.0,MIT")] * 2
+    assert [(r.n_blocks, r.blocks) for r in got] == [(1, "MIT")] * 2 + [(0, "")] * 5 + [(1, "MIT")] * 2 + [(1, "GPL-3.0"), (1, "Acme-1"), (1, "Apache-2.0"), (1, "MIT")]
+    assert got[5].text_digest == hashlib.sha256(b"").hexdigest() == got[6].text_digest
+    assert [r.license for r in licenses.scan(docs).collect() if r.doc_id == 9] == [None]
+
+
+@pytest.mark.parametrize("name, license", [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_whole_licenses(spark, name, license):
+    """Published texts, where this system has them: alone, in other case, wrapped anew, and within prose."""
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no licence texts here")
+    with open(path) as f:
+        text = f.read()
+    wrapped = "\n\n".join(p if "copyright" in p.lower() else " ".join(p.split()) for p in re.split(r"\n[^\w\n]*\n", text))
+    docs = spark.createDataFrame(list(enumerate([text, text.upper(), wrapped, f"See below.\n\n{text}\n\nThat was it.", text.replace("any", "some")])), "doc_id int, text string")
+    got = sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.license for r in got] == [license, license, license, None, None]
+    assert all(license in r.blocks.split(",") for r in got[:4])
 
 
 # Token files
