@@ -1,14 +1,15 @@
 """Token files: ids of whole documents, entropy-coded by a static range asymmetric numeral system.
 
 One table of frequencies, counted over all documents, serves all files. A file
-holds blocks of whole documents. Within a block, LANES coders take the ids in
+holds blocks of whole documents. Within a block, up to LANES coders take the ids in
 turn and share one stream of 32-bit words. A block is independent of all others,
 and every CHECKPOINT steps it notes the state of its coders, the place in the
-stream and a checksum of the ids up to the next one, so segments of one block
-can be decoded at the same time too.
+stream and a checksum of the ids and words up to the next one. So segments of one block
+are decoded at the same time: side by side in one task, by several tasks
+(read_segments()), or only those that hold what is asked for (ids_between()).
 
 File: magic, then blocks. Block, little-endian: magic, length of the block,
-documents, ids, lanes, segments (all u32); doc_ids (i64) and whether they are
+documents, ids, lanes, steps of a segment (all u32); doc_ids (i64) and whether they are
 null (u8); ids of each document (u64); for each segment: word offset (u32),
 checksum (u32), states (u64 a lane); the stream (u32).
 """
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -32,13 +33,15 @@ from .common import long_rows, release, shared_dir, stored, whole
 SCALE = 20
 LANES = 2048
 #: Steps between checkpoints.
-CHECKPOINT = 128
+CHECKPOINT = 64
 #: Ids after which a block ends with the current document.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Ids after which a file ends.
 FILE = 1 << 24
 END = 0
-MAGIC, BLOCK_MAGIC = b"RSTOKEN1", 0x4B4C4252
+#: Segments that a task decodes side by side.
+TOGETHER = 4
+MAGIC, BLOCK_MAGIC = b"RSTOKEN2", 0x4B4C4252
 _LOW = np.uint64(1 << 31)
 
 
@@ -57,7 +60,12 @@ class Table:
         self.symbol = np.repeat(np.arange(self.size, dtype=np.uint32), self.freq.astype(np.int64))
 
 
-def encode_ids(ids: np.ndarray, table: Table, lanes: int = LANES) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+def lanes_of(n: int) -> int:
+    """How many coders share n ids: fewer for few ids, so that their states stay a small part of the block."""
+    return min(LANES, max(16, 1 << (n // CHECKPOINT).bit_length()))
+
+
+def encode_ids(ids: np.ndarray, table: Table, lanes: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
     """The stream of ids and its checkpoints (word offset, checksum, states), one for each segment."""
     steps = -(-len(ids) // lanes)
     grid = np.full(steps * lanes, ids[-1] if len(ids) else END, np.uint32)
@@ -80,13 +88,19 @@ def encode_ids(ids: np.ndarray, table: Table, lanes: int = LANES) -> tuple[np.nd
             marks.append((total, zlib.crc32(grid[t : t + CHECKPOINT].astype("<u4").tobytes()), x.copy()))
     words.reverse()
     stream = np.concatenate(words) if words else np.zeros(0, np.uint32)
-    return stream, [(total - at, crc, state) for at, crc, state in reversed(marks)]
+    marks = [(total - at, crc, state) for at, crc, state in reversed(marks)]
+    ends = [at for at, _, _ in marks[1:]] + [total]
+    # The checksum also covers the words of a segment: the last ones change no id, only states.
+    return stream, [(at, zlib.crc32(stream[at:end].astype("<u4").tobytes(), crc), state) for (at, crc, state), end in zip(marks, ends)]
+
+
+Mark = tuple[int, int, np.ndarray]
 
 
-def decode_segment(stream: np.ndarray, mark: tuple[int, int, np.ndarray], steps: int, table: Table) -> np.ndarray:
-    """The ids of a segment of so many steps."""
-    at, crc, x = mark[0], mark[1], mark[2].astype(np.uint64)
-    out = np.empty((steps, len(x)), np.uint32)
+def decode_segments(stream: np.ndarray, marks: list[Mark], steps: int, table: Table) -> np.ndarray:
+    """The ids of segments of so many steps each, decoded side by side."""
+    at, x = np.array([m[0] for m in marks]), np.stack([m[2].astype(np.uint64) for m in marks])
+    out = np.empty((steps, *x.shape), np.uint32)
     mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
     for t in range(steps):
         slot = x & mask
@@ -94,18 +108,23 @@ def decode_segment(stream: np.ndarray, mark: tuple[int, int, np.ndarray], steps:
         out[t] = s
         x = table.freq[s] * (x >> scale) + slot - table.cum[s]
         need = x < _LOW
-        n = int(np.count_nonzero(need))
-        if n:
-            x[need] = x[need] << np.uint64(32) | stream[at : at + n]
+        n = np.count_nonzero(need, axis=1)
+        # The words of a segment follow each other, those of all segments are taken row by row.
+        words = np.concatenate([stream[a : a + k] for a, k in zip(at.tolist(), n.tolist())])
+        if len(words):
+            x[need] = x[need] << np.uint64(32) | words
             at += n
-    if zlib.crc32(out.tobytes()) != crc:
-        raise ValueError("token segment fails its checksum")
+    out = out.transpose(1, 0, 2).reshape(len(marks), -1)
+    for ids, end, m in zip(out, at.tolist(), marks):
+        if zlib.crc32(stream[m[0] : end].tobytes(), zlib.crc32(ids.tobytes())) != m[1]:
+            raise ValueError("token segment fails its checksum")
     return out.ravel()
 
 
 def pack_block(doc_ids: list[int | None], parts: list[np.ndarray], table: Table) -> bytes:
     ids = np.concatenate(parts)
-    stream, marks = encode_ids(ids, table)
+    lanes = lanes_of(len(ids))
+    stream, marks = encode_ids(ids, table, lanes)
     body = [
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         np.array([len(p) for p in parts], "<u8").tobytes(),
@@ -113,30 +132,54 @@ def pack_block(doc_ids: list[int | None], parts: list[np.ndarray], table: Table)
         stream.astype("<u4").tobytes(),
     ]
     size = 24 + sum(map(len, body))
-    return b"".join([np.array([BLOCK_MAGIC, size, len(doc_ids), len(ids), LANES, len(marks)], "<u4").tobytes(), *body])
+    return b"".join([np.array([BLOCK_MAGIC, size, len(doc_ids), len(ids), lanes, CHECKPOINT], "<u4").tobytes(), *body])
+
+
+class Block:
+    """A block that is opened but not decoded: doc_ids, lengths (ids of each document), n (ids), marks and stream."""
+
+    def __init__(self, raw: memoryview):
+        magic, _, docs, self.n, self.lanes, self.checkpoint = np.frombuffer(raw, "<u4", 6).tolist()
+        if magic != BLOCK_MAGIC:
+            raise ValueError("not a token block")
+        at = 24 + 17 * docs
+        null = np.frombuffer(raw, np.uint8, docs, 24 + 8 * docs).tolist()
+        self.doc_ids = [None if z else d for d, z in zip(np.frombuffer(raw, "<i8", docs, 24).tolist(), null)]
+        self.lengths = np.frombuffer(raw, "<u8", docs, 24 + 9 * docs).tolist()
+        self.steps = -(-self.n // self.lanes)
+        self.marks: list[Mark] = []
+        for _ in range(-(-self.steps // self.checkpoint)):
+            place, crc = np.frombuffer(raw, "<u4", 2, at).tolist()
+            self.marks.append((place, crc, np.frombuffer(raw, "<u8", self.lanes, at + 8)))
+            at += 8 + 8 * self.lanes
+        self.stream = np.frombuffer(raw, "<u4", offset=at)
+
+    def steps_of(self, segment: int) -> int:
+        return min(self.checkpoint, self.steps - segment * self.checkpoint)
+
+    def ids_between(self, low: int, high: int, table: Table) -> np.ndarray:
+        """Ids number low to high (exclusive) of the block; no segment is decoded that has none of them."""
+        span = self.checkpoint * self.lanes
+        first, last = low // span, -(-min(high, self.n) // span)
+        if low >= min(high, self.n):
+            return np.zeros(0, np.uint32)
+        whole = [i for i in range(first, last) if self.steps_of(i) == self.checkpoint]
+        # Some at a time, so that a long block needs no more memory than a short one besides its ids.
+        found = [decode_segments(self.stream, [self.marks[i] for i in whole[k : k + TOGETHER]], self.checkpoint, table) for k in range(0, len(whole), TOGETHER)]
+        found += [decode_segments(self.stream, [self.marks[i]], self.steps_of(i), table) for i in range(first + len(whole), last)]
+        return np.concatenate(found)[low - first * span : min(high, self.n) - first * span]
 
 
 def unpack_block(raw: memoryview, table: Table) -> tuple[list[int | None], list[int], np.ndarray]:
     """doc_ids, number of ids of each document, and the ids, of one block."""
-    magic, _, docs, n, lanes, segments = np.frombuffer(raw, "<u4", 6).tolist()
-    if magic != BLOCK_MAGIC:
-        raise ValueError("not a token block")
-    at = 24
-    doc_ids = np.frombuffer(raw, "<i8", docs, at).tolist()
-    at += 8 * docs
-    null = np.frombuffer(raw, np.uint8, docs, at).tolist()
-    at += docs
-    lengths = np.frombuffer(raw, "<u8", docs, at).tolist()
-    at += 8 * docs
-    marks = []
-    for _ in range(segments):
-        place, crc = np.frombuffer(raw, "<u4", 2, at).tolist()
-        marks.append((place, crc, np.frombuffer(raw, "<u8", lanes, at + 8)))
-        at += 8 + 8 * lanes
-    stream = np.frombuffer(raw, "<u4", offset=at)
-    steps = -(-n // lanes)
-    ids = np.concatenate([decode_segment(stream, m, min(CHECKPOINT, steps - i * CHECKPOINT), table) for i, m in enumerate(marks)])[:n]
-    return [None if z else d for d, z in zip(doc_ids, null)], lengths, ids
+    block = Block(raw)
+    return block.doc_ids, block.lengths, block.ids_between(0, block.n, table)
+
+
+def ids_of(block: Block, document: int, table: Table) -> np.ndarray:
+    """The ids of one document of a block, by its number there."""
+    begin = sum(block.lengths[:document])
+    return block.ids_between(begin, begin + block.lengths[document], table)
 
 
 def blocks(raw: bytes) -> Iterator[memoryview]:
@@ -286,7 +329,7 @@ def write(tokens: DataFrame, where: str, table: Table, kind: str) -> list:
     return tokens.mapInArrow(run, "part long, seq long, documents long, ids long").collect()
 
 
-def read(spark, where: str, table: Table, index: list) -> DataFrame:
+def read(spark: SparkSession, where: str, table: Table, index: list) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the files below where."""
     starts, at = {}, 0
     for r in sorted(index, key=lambda r: (r["part"], r["seq"])):
@@ -312,8 +355,42 @@ def read(spark, where: str, table: Table, index: list) -> DataFrame:
 
     if not index:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(where).select("path", "content")
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _files(spark, where).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _files(spark: SparkSession, where: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(where).select("path", "content")
+
+
+def read_segments(spark: SparkSession, where: str, table: Table) -> DataFrame:
+    """part, seq (of the file), block, segment and ids (32 bits each) of every segment below where, each decoded by itself in any task.
+
+    A file, and a block however long, is thus decoded by as many tasks as the session's shuffle has partitions. The ids of a
+    block are those of its segments, in order. The folder holds one file at least.
+    """
+    shared = spark.sparkContext.broadcast(table)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "seq", "block", "segment", "n", "steps", "crc", "states", "stream"]
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part, seq = map(int, path.rpartition("/")[2].removesuffix(".rans").split("-"))
+                for k, block in enumerate(map(Block, blocks(raw.as_buffer()))):
+                    ends, span = [m[0] for m in block.marks[1:]] + [len(block.stream)], block.checkpoint * block.lanes
+                    for i, (at, crc, states) in enumerate(block.marks):
+                        row = [part, seq, k, i, min(span, block.n - i * span), block.steps_of(i), crc, states.tobytes(), block.stream[at : ends[i]].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for n, steps, crc, states, stream in zip(*[batch.column(i).to_pylist() for i in range(4, 9)]):
+                mark = (0, crc, np.frombuffer(states, "<u8"))
+                ids.append(decode_segments(np.frombuffer(stream, "<u4"), [mark], steps, shared.value)[:n].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ids, pa.binary())], ["part", "seq", "block", "segment", "ids"])
+
+    found = _files(spark, where).mapInArrow(cut_up, "part long, seq long, block long, segment long, n long, steps long, crc long, states binary, stream binary")
+    return found.repartition("part", "seq", "block", "segment").mapInArrow(decode, "part long, seq long, block long, segment long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str | None = None, where: str | None = None) -> DataFrame:

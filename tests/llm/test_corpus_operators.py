@@ -364,9 +364,25 @@ def test_rans_blocks():
     with pytest.raises(ValueError):
         tokens.unpack_block(memoryview(bytes(broken)), table)
     assert len(raw) < 2.2 * len(ids)
+    block = tokens.Block(memoryview(raw))
+    assert len(block.marks) >= 3
+    assert (tokens.ids_of(block, 1, table) == ids[1:1000]).all() and (tokens.ids_of(block, 2, table) == ids[1000:]).all()
+    for low, high in ((0, 0), (0, 1), (131_071, 131_073), (200_000, 10**9), (299_999, 300_000), (300_000, 300_001)):
+        assert (block.ids_between(low, high, table) == ids[low:high]).all()
+    # Only the segments that are asked for are decoded: a broken one elsewhere is not seen.
+    assert (tokens.Block(memoryview(bytes(broken))).ids_between(0, 100, table) == ids[:100]).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000, 5000])
+def test_rans_small_blocks(n):
+    """Few ids have few coders, so their block stays small."""
+    ids = np.arange(n, dtype=np.uint32) % 300
+    table = tokens.Table(Counter(ids.tolist()))
+    raw = tokens.pack_block([1], [ids], table)
+    assert (tokens.unpack_block(memoryview(raw), table)[2] == ids).all() and len(raw) < 250 + 4 * n
 
 
-def test_token_files(docs, rows, library, monkeypatch):
+def test_token_files(docs, rows, library):
     want, at = [], 0
     for i, t, _, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array(ids_of(library, t) + [tokens.END], "<u4")
@@ -375,6 +391,16 @@ def test_token_files(docs, rows, library, monkeypatch):
     same(tokens.round_trip(docs).collect(), want)
 
 
+def test_token_segments(spark, library):
+    """A block of one long text is decoded by segments, in tasks of their own."""
+    texts = [(1, "x"), (2, words_of(random.Random(4), 120_000)), (3, None)]
+    where = f"{shared_dir(spark).rstrip('/')}/token-files-{random.getrandbits(64)}"
+    ids = [np.array(ids_of(library, t) + [tokens.END], "<u4") for _, t in texts]
+    assert tokens.round_trip(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), where=where).count() == 3
+    parts = sorted(tokens.read_segments(spark, where, tokens.Table(Counter(np.concatenate(ids).tolist()))).collect())
+    assert max(r.segment for r in parts) > 0 and b"".join(bytes(r.ids) for r in parts) == np.concatenate(ids).tobytes()
+
+
 # Languages
 
 def test_languages(spark):
