@@ -1,7 +1,7 @@
 """Native column expressions: statistics, decisions and text clean-up."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The normal quantile and the thresholds of decisions.
@@ -16,6 +16,16 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, which later steps refer to: plain columns would be copied into each expression that uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))))
+
+
 def share(part, whole) -> Column:
     """part / whole as a double, null where whole is 0."""
     return F.try_divide(col(part).cast("double"), col(whole).cast("double"))

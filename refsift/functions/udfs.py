@@ -30,32 +30,19 @@ def find_passage(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([t.find_passage(q, s) for q, s in zip(quote, source)], columns=["similarity", "passage"])
 
 
-@F.pandas_udf(T.StringType())
-def title_of(text: pd.Series) -> pd.Series:
-    return _each(lambda x: None if x is None else t.title_of(x), text)
-
-
-@F.pandas_udf(T.StringType())
-def strip_trailing(text: pd.Series) -> pd.Series:
-    return _each(lambda x: None if x is None else t.strip_trailing(x), text)
-
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalise_names(names: pd.Series) -> pd.Series:
+    """Names without case, accents and punctuation."""
+    return names.map(lambda x: None if x is None else [t.normalise_title(n) for n in x])
 
-@F.pandas_udf(T.BooleanType())
-def is_title(text: pd.Series) -> pd.Series:
-    return _each(lambda x: x is not None and t.is_title(x), text)
 
-
-@F.pandas_udf(T.BooleanType())
-def is_author_list(text: pd.Series) -> pd.Series:
-    return _each(lambda x: x is not None and t.is_author_list(x), text)
-
-
-@F.pandas_udf(T.BooleanType())
-def is_personal_name(text: pd.Series) -> pd.Series:
-    return _each(lambda x: x is not None and t.is_personal_name(x), text)
+@F.pandas_udf(T.DoubleType())
+def author_overlap(claimed: pd.Series, resolved: pd.Series) -> pd.Series:
+    """For SQL; columns.author_overlap is the same as a column expression."""
+    return _each(t.author_overlap, claimed, resolved)
 
 
 def register(spark: SparkSession) -> None:
     """Make the text functions callable from SQL."""
-    for f in (normalise_title, title_similarity, find_passage, title_of, strip_trailing):
+    for f in (normalise_title, title_similarity, find_passage, author_overlap):
         spark.udf.register(f.__name__, f)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions.udfs import title_of
+from ..functions.titles import strip, title_of
 
 #: What ends a line (fixed values, those of Unicode text files).
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -20,24 +20,23 @@ ARXIV = r"(?i)arXiv:\s*(?:(\d{4}\.\d{4,5}(?:v\d+)?)|([a-z-]+(?:\.[A-Z]{2})?/\d{7
 URL = r"(?i)https?://[^\s<>\"'\)\]]+"
 HEADING = r"(?i)^\s*(?:#+\s*)?(?:\d+\.?\s*)?(references|bibliography|works cited|sources|citations|footnotes|endnotes)\s*:?\s*$"
 NUMBERED = r"^\s*(?:\[(\d{1,3})\]|\((\d{1,3})\)|(\d{1,3})\.)\s+(.{20,})$"
-_EDGE = r"(?U)^\s+|\s+$"
 _TAIL = r"[.,;:)\]}>\"']+$"
 
 
-def strip(text) -> Column:
-    return F.regexp_replace(c.col(text), _EDGE, "")
+def strip_trailing(text) -> Column:
+    """Drop closing punctuation; a bracket that closes one inside stays, and with it what stands before.
 
+    Most tails have no bracket, and one pattern drops them; of the others, characters go one at a time.
+    """
+    def drop(x: Column) -> Column:
+        tail = F.regexp_extract(x, _TAIL, 0)
+        count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+        balanced = lambda s, a, b: F.endswith(s, F.lit(b)) & (count(s, a) >= count(s, b))
+        ends = lambda s: balanced(s, "(", ")") | balanced(s, "[", "]") | ~s.rlike(_TAIL)
+        slow = F.aggregate(F.split(tail, ""), x, lambda s, _: F.when(ends(s), s).otherwise(s.substr(F.lit(1), F.length(s) - 1)))
+        return F.when(tail == "", x).when(tail.rlike(r"[)\]]"), slow).otherwise(x.substr(F.lit(1), F.length(x) - F.length(tail)))
 
-def strip_trailing(text) -> Column:
-    """Drop closing punctuation, one character at a time; a bracket that closes one inside stays."""
-    text = c.col(text)
-    count = lambda s, x: F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))
-    balanced = lambda s, a, b: F.endswith(s, F.lit(b)) & (count(s, a) >= count(s, b))
-    keeps = lambda s: balanced(s, "(", ")") | balanced(s, "[", "]")
-    tail = F.split(F.regexp_extract(text, _TAIL, 0), "")
-    return F.when(F.regexp_extract(text, _TAIL, 0) == "", text).otherwise(
-        F.aggregate(tail, text, lambda s, _: F.when(keeps(s) | (F.regexp_extract(s, _TAIL, 0) == ""), s).otherwise(s.substr(F.lit(1), F.length(s) - 1)))
-    )
+    return c.let(c.col(text), drop)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -45,20 +44,23 @@ def lines(docs: DataFrame) -> DataFrame:
 
     After a heading all lines belong to the bibliography. A null text has no lines.
     """
-    parts = docs.select("doc_id", F.transform(F.split("text", LINE_END), strip).alias("parts"))
-    heading = F.array_position(F.transform("parts", lambda x: x.rlike(HEADING)), True)
-    rows = parts.select("doc_id", heading.alias("heading"), F.posexplode("parts").alias("pos", "text"))
-    rows = rows.where((F.col("text") != "") & ~F.col("text").rlike(HEADING))
-    return rows.select("doc_id", (F.col("pos") + 1).alias("line"), "text", ((F.col("heading") > 0) & (F.col("pos") >= F.col("heading"))).alias("in_bibliography"))
+    of = lambda x: c.let(strip(x), lambda t: F.struct(t.alias("text"), t.rlike(HEADING).alias("heads")))
+    parts = docs.select("doc_id", F.transform(F.split("text", LINE_END), of).alias("parts"))
+    heading = F.array_position(F.col("parts.heads"), True)
+    rows = parts.select("doc_id", heading.alias("heading"), F.posexplode("parts").alias("pos", "part"))
+    rows = rows.where((F.col("part.text") != "") & ~F.col("part.heads"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line"), "part.text", ((F.col("heading") > 0) & (F.col("pos") >= F.col("heading"))).alias("in_bibliography"))
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """Add ref_number, body and is_entry to lines()."""
-    group = lambda i: F.regexp_extract("text", NUMBERED, i)
-    numbered = F.col("text").rlike(NUMBERED)
-    number = F.when(numbered, F.concat(group(1), group(2), group(3)).try_cast("int"))
+    """Add ref_number, body and is_entry to lines(). The pattern of numbered entries is matched once a line."""
+    number = r"^[\[(]?(\d{1,3})[\]).]\s+"
+    head = F.when(F.col("text").rlike(NUMBERED), F.regexp_extract("text", number, 0)).otherwise(F.lit(""))
+    rows = c.once(rows, head=head)
+    numbered = F.col("head") != ""
     return rows.select(
-        "*", number.alias("ref_number"), F.when(numbered, group(4)).otherwise(F.col("text")).alias("body"),
+        "doc_id", "line", "text", "in_bibliography", F.when(numbered, F.regexp_extract("head", r"\d+", 0).cast("int")).alias("ref_number"),
+        F.when(numbered, F.col("text").substr(F.length("head") + 1, F.length("text"))).otherwise(F.col("text")).alias("body"),
         (numbered | (F.col("in_bibliography") & (F.length("text") > 40))).alias("is_entry"),
     )
 
@@ -68,27 +70,35 @@ def identifiers(text) -> Column:
 
     arxiv.org/abs links without an arXiv: prefix count neither as arXiv ids nor as URLs.
     """
-    text = c.col(text)
     item = lambda kind, ident, raw: F.struct(F.lit(kind).alias("kind"), ident.alias("identifier"), F.trim(raw).alias("raw"))
-    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    dois = F.transform(every(DOI), lambda x: item("doi", F.lower(strip_trailing(F.regexp_extract(x, DOI, 1))), x))
-    arxiv = F.transform(every(ARXIV), lambda x: item("arxiv", strip_trailing(F.concat(F.regexp_extract(x, ARXIV, 1), F.regexp_extract(x, ARXIV, 2))), x))
-    urls = F.transform(every(URL), lambda x: item("url", strip_trailing(x), strip_trailing(x)))
-    urls = F.filter(urls, lambda x: ~F.lower(x["identifier"]).rlike(r"doi\.org/|arxiv\.org/abs"))
-    found = F.concat(F.filter(dois, lambda x: F.length(x["identifier"]) >= 8), F.filter(arxiv, lambda x: x["identifier"] != ""), urls)
+    none = F.array().cast("array<struct<kind:string,identifier:string,raw:string>>")
+
+    def every(t: Column, kind: str, sign: Column, pattern: str, ident, keep) -> Column:
+        """What a pattern finds, where a sign of it is there at all."""
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: item(kind, ident(x), x))
+        return F.when(sign, F.filter(found, lambda x: keep(x["identifier"]))).otherwise(none)
+
+    def search(t: Column) -> Column:
+        lower = F.lower(t)
+        dois = every(t, "doi", F.contains(t, F.lit("10.")), DOI, lambda x: F.lower(strip_trailing(F.regexp_extract(x, DOI, 1))), lambda i: F.length(i) >= 8)
+        arxiv = every(t, "arxiv", F.contains(lower, F.lit("arxiv")), ARXIV, lambda x: strip_trailing(F.concat(F.regexp_extract(x, ARXIV, 1), F.regexp_extract(x, ARXIV, 2))), lambda i: i != "")
+        links = F.transform(F.regexp_extract_all(t, F.lit(URL), F.lit(0)), lambda x: c.let(strip_trailing(x), lambda u: item("url", u, u)))
+        links = F.filter(links, lambda x: ~F.lower(x["identifier"]).rlike(r"doi\.org/|arxiv\.org/abs"))
+        return F.concat(dois, arxiv, F.when(F.contains(lower, F.lit("http")), links).otherwise(none))
+
     names = lambda a: F.transform(a, lambda x: x["identifier"])
-    return F.transform(F.array(found), lambda a: F.filter(a, lambda x, i: F.array_position(names(a), x["identifier"]) == i + 1))[0]
+    once = lambda a: F.when(F.size(a) < 2, a).otherwise(F.filter(a, lambda x, i: F.array_position(names(a), x["identifier"]) == i + 1))
+    return c.let(F.coalesce(c.let(c.col(text), search), none), once)
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """The citations of each document (doc_id, text), in the CITATION schema, each key of a document once."""
     entry = F.col("is_entry")
-    # The UDF passes over what isn't an entry. Its rows come back as columns, so nothing before it is computed twice.
-    rows = entries(lines(docs)).withColumn("ids", identifiers("body")).withColumn("title", title_of(F.when(entry, F.col("body"))))
-    rows = rows.select(
-        "doc_id", "line", "ids", "body", F.col("title").alias("claimed_title"), F.when(entry, F.col("ref_number")).alias("ref_number"),
-        F.when(entry, c.authors_in("body")).otherwise(F.array().cast("array<string>")).alias("claimed_authors"), F.when(entry, c.year_in("body")).alias("claimed_year"),
-    )
+    # A claim is made of entries only.
+    claim = F.struct(title_of("body").alias("claimed_title"), c.authors_in("body").alias("claimed_authors"), c.year_in("body").alias("claimed_year"), F.col("ref_number").alias("number"))
+    nothing = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("claimed_title", "string"), ("claimed_authors", "array<string>"), ("claimed_year", "int"), ("number", "int"))])
+    rows = c.once(entries(lines(docs)), ids=identifiers("body"), claim=F.when(entry, claim).otherwise(nothing))
+    rows = rows.select("doc_id", "line", "ids", "body", "claim.claimed_title", F.coalesce("claim.claimed_authors", F.array().cast("array<string>")).alias("claimed_authors"), "claim.claimed_year", F.col("claim.number").alias("ref_number"))
     described = F.col("claimed_title").isNotNull() & ((F.size("claimed_authors") > 0) | F.col("claimed_year").isNotNull())
     alone = F.array(F.struct(F.lit("bibliographic").alias("kind"), F.lit(None).cast("string").alias("identifier"), F.substring("body", 1, 300).alias("raw")))
     found = rows.select("*", F.posexplode(F.when(F.size("ids") > 0, F.col("ids")).when(described, alone)).alias("pos", "id"))

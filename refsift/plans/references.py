@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions.udfs import is_author_list, is_personal_name, is_title, title_of, title_similarity
+from ..functions.titles import is_author_list, is_personal_name, is_title, title_of
+from ..functions.udfs import title_similarity
 from ..operators import corpora, extract, quotes, titles, verify
 from .registry import query, sql, with_
 
@@ -77,10 +78,16 @@ def q16(spark, sf_dir):
     return q13(spark, sf_dir).select("doc_id", F.array_join(c.authors_in("body"), ";").alias("authors"))
 
 
-@query("q17_title_guards", with_(DOCS, _LINES, _ROWS, _ENTRY) + "SELECT doc_id, regexp_extract(body, '\\)\\. (A study of .* and its kin)\\. Journal', 1) AS title, true AS title_ok, false AS list_ok, false AS name_ok FROM entry")
+# A reference's title, and spans that look like one, with what the guards say of each.
+_SPANS = "CASE doc_id % 4 WHEN 0 THEN title WHEN 1 THEN 'Smith, J. K., Jones, A. and Brown, C.' WHEN 2 THEN 'Edsger W. Dijkstra' ELSE 'pp. 12--30 of a study' END"
+
+
+@query("q17_title_guards", with_(DOCS, _LINES, _ROWS, _ENTRY, ("t", "SELECT doc_id, regexp_extract(body, '\\)\\. (A study of .* and its kin)\\. Journal', 1) AS title FROM entry"))
+       + f"SELECT doc_id, title, {_SPANS} AS span, doc_id % 2 = 0 AS title_ok, doc_id % 4 = 1 AS list_ok, doc_id % 4 = 2 AS name_ok FROM t")
 def q17(spark, sf_dir):
-    rows = q13(spark, sf_dir).select("doc_id", title_of("body").alias("title"))
-    return rows.select("doc_id", "title", is_title("title").alias("title_ok"), is_author_list("title").alias("list_ok"), is_personal_name("title").alias("name_ok"))
+    rows = c.once(q13(spark, sf_dir).select("doc_id", "body"), title=title_of("body"))
+    rows = c.once(rows.select("doc_id", "title"), span=F.expr(_SPANS))
+    return rows.select("*", is_title("span").alias("title_ok"), is_author_list("span").alias("list_ok"), is_personal_name("span").alias("name_ok"))
 
 
 @query("q57_extract", None)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from refsift.functions import columns as c
 from refsift.functions import text as t
+from refsift.functions import titles as spans_of
 from refsift.operators import corpora, extract, quotes, titles, verify
 from refsift.plans import calibration, decisions, references
 from refsift.plans.evidence import summary
@@ -55,13 +56,42 @@ def test_extract(spark):
     assert len(bib) == 1 and bib[0].claimed_year == 2022 and bib[0].claimed_title == "Another title that is long enough"
 
 
-def test_native_matches_plain_functions(spark):
-    samples = ["10.1/a).", "10.1/a(b)", "10.1/a(b)).", "x[1]]", "plain", "", "a.,;:", "f(g(h))))"]
-    got = spark.createDataFrame([(s,) for s in samples], "s string").select("s", extract.strip_trailing("s").alias("x")).collect()
-    assert [r.x for r in got] == [t.strip_trailing(r.s) for r in got]
-    refs = ["271 (1547): 1443--1450, 2004.", "Smith, J. A. (1850). On", "Smith et al. 1999", "Jones, B. and jones, C. (2019a)", "none"]
-    got = spark.createDataFrame([(s,) for s in refs], "s string").select("s", c.year_in("s").alias("y"), c.authors_in("s").alias("a")).collect()
-    assert [r.y for r in got] == [t.year_of(r.s) for r in got] and [r.a for r in got] == [t.authors_of(r.s) for r in got]
+def only(spark, texts, *columns):
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, s string")
+    return [tuple(r)[1:] for r in table.select("i", *columns).orderBy("i").collect()]
+
+
+def test_trailing_punctuation_years_and_authors(spark):
+    samples = {"10.1/a).": "10.1/a", "10.1/a(b)": "10.1/a(b)", "10.1/a(b)).": "10.1/a(b)", "x[1]]": "x[1]", "plain": "plain", "": "", "..": "", "a.,;:": "a", "f(g(h))))": "f(g(h))", None: None, 'q>"\'': "q"}
+    assert only(spark, samples, extract.strip_trailing("s")) == [(v,) for v in samples.values()]
+    refs = {
+        "271 (1547): 1443--1450, 2004.": (2004, []), "Smith, J. A. (1850). On": (1850, ["Smith"]), "Smith et al. 1999": (1999, ["Smith"]), "none": (None, []), "A. (2019a) b": (2019, []),
+        "Smith, J. A., Jones, B. and SMITH, C. The et al.": (None, ["Smith", "Jones"]),
+    }
+    assert only(spark, refs, c.year_in("s"), c.authors_in("s")) == list(refs.values())
+
+
+def test_titles(spark):
+    refs = {
+        'Smith, J. (2019). "Random drift and culture change." J.': "Random drift and culture change.",
+        "Smith, J. (2019). Random drift and culture change. Journal of X.": "Random drift and culture change",
+        "Elham Tabassi. A framework for managing risk. NIST.": "A framework for managing risk",
+        '"10.1000/xyz not a title" A good title here. J.': None,
+        "Müller, Ö. 2004. «Une étude de la culture moderne» Revue.": "Une étude de la culture moderne",
+        "Étude de la culture et du hasard. Revue.": "Étude de la culture et du hasard",
+        "J. Smith, A. Jones and B. Brown. 12. pp. 3.": None, "": None, None: None,
+    }
+    assert only(spark, refs, spans_of.title_of("s")) == [(v,) for v in refs.values()]
+
+
+def test_title_guards(spark):
+    spans = {  # title, list of authors, name
+        "pp. 12 of something": (False, False, False), "one": (False, False, False), "J. Smith, A. Jones and B. Brown": (False, True, False), "Attention is all you need": (True, False, False),
+        "Edsger W. Dijkstra": (True, False, True), "Attention Is All You Need": (True, False, False), "Ann Smith and Bob Jones": (False, True, False), "Smith and Jones": (True, False, False),
+        "Élan Vital": (True, False, True), "x" * 301 + " y": (False, False, False), "12 angry men of law": (False, False, False), "a 1 b 2 c 3 d 4": (False, False, False), None: (False, False, False),
+    }
+    assert only(spark, spans, spans_of.is_title("s"), spans_of.is_author_list("s"), spans_of.is_personal_name("s")) == list(spans.values())
+    assert only(spark, ["a 1 b 2 c 3 d 4", "pp. 12 of something"], spans_of.is_title("s", True)) == [(True,), (False,)]
 
 
 @pytest.mark.parametrize("s1, s2, second, want", [
