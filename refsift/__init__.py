@@ -1 +1,3 @@
 """Reference-integrity analytics expressed as Spark DataFrame plans."""
+
+__version__ = "0.2.0"

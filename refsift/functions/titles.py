@@ -43,13 +43,18 @@ def count(text, pattern: str) -> Column:
 
 def is_author_list(text) -> Column:
     """Whether a span names authors: many initials, or a list of which most parts are capitalised names, or names up to a last "and"."""
-    text = strip(text)
-    words, initials = count(text, _WORD), count(text, r"(?U)\b[A-Z]\.")
-    parts = F.filter(F.split(text, r"(?U),\s*and\s|\sand\s|,\s*"), lambda p: p.rlike(_WORD))
-    names = lambda least: F.size(F.filter(parts, lambda p: p.rlike(rf"(?U)^\s*{_CAPITALISED}{{{least},4}}$")))
-    listed = (F.size(parts) > 2) & (names(1) / F.size(parts) >= NAMES) | (F.size(parts) == 2) & (names(2) == 2)
-    abbreviated = (initials >= 2) & ((initials / words > INITIALS) | text.rlike(rf"(?sU)^.+ and \s*{_CAPITALISED}{{1,3}}$"))
-    return F.coalesce((words > 1) & (abbreviated | listed), F.lit(False))
+    def listed(parts: Column) -> Column:
+        names = lambda least: F.size(F.filter(parts, lambda p: p.rlike(rf"(?U)^\s*{_CAPITALISED}{{{least},4}}$")))
+        return (F.size(parts) > 2) & (names(1) / F.size(parts) >= NAMES) | (F.size(parts) == 2) & (names(2) == 2)
+
+    def passes(t: Column, words: Column, initials: Column) -> Column:
+        abbreviated = (initials >= 2) & ((initials / words > INITIALS) | t.rlike(rf"(?sU)^.+ and \s*{_CAPITALISED}{{1,3}}$"))
+        parts = F.filter(F.split(t, r"(?U),\s*and\s|\sand\s|,\s*"), lambda p: p.rlike(_WORD))
+        # Only a comma or an "and" makes a list.
+        return (words > 1) & (abbreviated | t.rlike(r"(?U),|\sand\s") & let(parts, listed))
+
+    counted = lambda t: F.struct(count(t, _WORD).alias("words"), count(t, r"(?U)\b[A-Z]\.").alias("initials"))
+    return F.coalesce(let(strip(text), lambda t: let(counted(t), lambda n: passes(t, n["words"], n["initials"]))), F.lit(False))
 
 
 def is_personal_name(text) -> Column:

@@ -7,6 +7,7 @@ import shlex
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..functions.columns import html_text
 
 PLAIN = (".md", ".txt", ".rst", ".tex", ".csv", ".json")
 HTML = (".html", ".htm")
+KNOWN = (*PLAIN, *HTML, ".docx", ".pdf")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -37,6 +39,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raise UnsupportedDocument(f"can't read {suffix or 'a file without a suffix'}")
 
 
+def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """doc_id and text of all files; a path that isn't there raises FileNotFoundError."""
+    for path in paths:
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if os.path.splitext(path)[1].lower() in KNOWN and not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath):
+            raise FileNotFoundError(f"no such file: {path}")
+    return reduce(DataFrame.unionByName, [read(spark, p) for p in paths])
+
+
 def _docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield pd.DataFrame({"doc_id": frame["path"], "text": [docx_text(bytes(x)) for x in frame["content"]]})

@@ -202,7 +202,11 @@ def test_report():
     assert "&lt;t|1&gt;" in report.as_html("x", rows) and "<t" not in report.as_html("x", rows).replace("<td>", "").replace("<table>", "").replace("<title>", "").replace("<tr", "").replace("<th>", "")
     assert "\\|" in report.markdown("x", rows)
     assert report.exit_code(rows) == 1 and report.exit_code(rows[:1]) == 0 and report.exit_code(rows[2:], strict=True) == 1
-    assert report.exit_code(rows[2:], fail_under=0.9) == 0
+    assert report.exit_code(rows[2:], fail_under=90) == 0
+    half = [dict(rows[0], verdict="verified"), dict(rows[0], verdict="mismatch")]
+    assert report.exit_code(rows[:1], fail_under=100) == 0 and report.counts(half)["integrity_score"] == 0.5
+    one_of_two = [dict(rows[0], verdict="verified")] * 4 + [dict(rows[0], verdict="verified")]
+    assert [report.exit_code(one_of_two, fail_under=x) for x in (99.0, 100.0, 100.5)] == [0, 0, 1]
     assert len(report.sparkline([0, 1] * 50)) == 46 and math.isclose(report.counts(rows)["check_coverage"], 2 / 3)
 
 
