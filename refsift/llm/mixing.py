@@ -23,6 +23,8 @@ MAX_EPOCHS = 3.0
 BLOCK_ROWS = 64
 #: A document is large if it holds more than one part in LARGE of its source's target.
 LARGE = 64
+#: Tables with a row for each source are broadcast up to so many; beyond that they are joined by shuffles.
+FEW_SOURCES = 50_000
 #: Entries of one level that are summed in one task, as a power of two.
 FAN_BITS = 8
 
@@ -30,11 +32,11 @@ FAN_BITS = 8
 SHAPES = [[(0.0, 1.5), (1.0, 0.5)], [(0.0, 0.5), (1.0, 1.5)], [(0.0, 0.5), (0.5, 1.5), (1.0, 0.5)]]
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text; null: none) of every row."""
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (words of the whole text; null: none), text_hash and more of every row."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"), *more,
     )
 
 
@@ -146,10 +148,10 @@ def mix(docs: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed: i
     Returns doc_id, size, source_size, target, taken, copies, position (of the
     first copy; null if the mix takes none) and positions (of every copy).
 
-    A source's stream repeats its documents in a hashed order until its target
-    is met. All are taken floor(target / source_size) times; those that lie
-    before the rest of the target by more than half their size, once more. Large
-    documents end the stream, so what is taken differs from the target by at most
+    A source's documents are all taken floor(target / source_size) times. The
+    rest of the target is met in a hashed order by large documents, those of more
+    than a LARGE-th of the target, in proportion to their part of the source, and then
+    by the others, which fill what the large ones leave. So what is taken differs from the target by at most
     half a document of a LARGE-th of it, unless large ones are all that is left. Null
     texts and blank ones have size 0: they are taken as often as a document at
     their place. A null source is a source of its own, after all others.
@@ -160,31 +162,53 @@ def mix(docs: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed: i
     return place(slim, plan, max_epochs, seed)
 
 
+def _shares(at: DataFrame, max_epochs: float, few) -> DataFrame:
+    """Add full (epochs), rest (words of the target beyond them), small (words of documents that aren't large), take (words of
+    large ones for the rest) and copies to a written table of _offsets()."""
+    epochs = F.least(F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) + 1e-12), F.lit(int(max_epochs))).cast("int")
+    at = at.withColumn("full", epochs).withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0)))
+    large = F.col("h") < 0
+    small = at.groupBy("source_no").agg(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("small"))
+    end, share = F.col("before") - F.col("small") + F.col("size"), F.col("rest") * F.try_divide(F.col("source_size") - F.col("small"), F.col("source_size"))
+    at = at.join(few(small), "source_no")
+    # Large documents up to their share, or one more, whichever lets the others meet the target better.
+    ends = at.where(large).groupBy("source_no", "rest", "small").agg(F.coalesce(F.max(F.when(end <= share, end)), F.lit(0)).alias("a"), F.min(F.when(end > share, end)).alias("b"))
+    miss = lambda x: F.greatest(x - F.col("rest"), F.col("rest") - x - F.col("small"), F.lit(0.0))
+    take = ends.select("source_no", F.when(miss(F.col("b")) < miss(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("take"))
+    at = at.join(few(take), "source_no", "left").withColumn("take", F.coalesce("take", F.lit(0)))
+    more = F.when(large, end <= F.col("take")).otherwise(F.col("before") + F.col("size") / 2 <= F.col("rest") - F.col("take"))
+    more = more & (F.col("full") < max_epochs) & (F.col("source_size") > 0)
+    return at.withColumn("copies", F.col("full") + more.cast("int"))
+
+
 def place(slim: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """mix() of a materialised table of sizes; columns besides doc_id, source and size are kept."""
+    """mix() of a materialised table of sizes(), with what else it has."""
     stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     wanted = targets(stats, plan(stats.select("source")), max_epochs)
     wanted = cut(wanted.withColumn("source_no", F.xxhash64(F.col("source"), F.col("source").isNull())).withColumn(
         "bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / BLOCK_ROWS)).cast("int"))
     ))
-    most = wanted.agg(F.max("bits")).first()[0] or 0
-    named = wanted.withColumnRenamed("source", "_source")
+    most, sources = wanted.agg(F.coalesce(F.max("bits"), F.lit(0)), F.count("*")).first()
+    few = F.broadcast if sources <= FEW_SOURCES else lambda x: x
+    named = few(wanted.withColumnRenamed("source", "_source"))
     rows = slim.join(named, slim["source"].eqNullSafe(named["_source"])).drop("_source", "source", "knots", "rows")
+    large = F.col("size") * LARGE > F.col("target")
     # Unsigned, the hashes of large documents follow all others.
-    large = F.when(F.col("size") * LARGE > F.col("target"), F.lit(-(2**63))).otherwise(F.lit(0))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit(seed)), 1).bitwiseOR(large))
-    at = _offsets(rows, most)
-    epochs = F.least(F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) + 1e-12), F.lit(int(max_epochs)))
-    at = at.withColumn("full", epochs.cast("int"))
-    more = (F.col("target") - F.col("full") * F.col("source_size") >= F.col("before") + F.col("size") / 2) & (F.col("full") < max_epochs) & (F.col("source_size") > 0)
-    at = at.withColumn("copies", F.col("full") + more.cast("int"))
-    middle = lambda k: k * F.col("source_size") + F.col("before") + F.col("size") / 2
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_hash", F.lit(seed)), 1).bitwiseOR(F.when(large, F.lit(-(2**63))).otherwise(F.lit(0)))
+    at = cut(_offsets(rows.withColumn("h", h).drop("text_hash"), most))
+    at = _shares(at, max_epochs, few)
+    # The part of its stretch (an epoch, or the rest) at which a document of its class is needed: both classes are spread over it.
+    behind = F.col("before") + F.col("size") / 2 - F.when(F.col("h") < 0, F.col("small")).otherwise(F.lit(0))
+    part = lambda of_large, of_small: F.least(F.coalesce(F.try_divide(behind, F.when(F.col("h") < 0, of_large).otherwise(of_small)), F.lit(1.0)), F.lit(1.0))
+    middle = lambda k: F.when(k < F.col("full"), (k + part(F.col("source_size") - F.col("small"), F.col("small"))) * F.col("source_size")).otherwise(
+        F.col("full") * F.col("source_size") + part(F.col("take"), F.col("rest") - F.col("take")) * F.col("rest")
+    )
     place_of = lambda k: _inverse(F.col("segments"), F.coalesce(F.try_divide(middle(k), F.col("target")), F.lit(0.0)) * F.col("weight"))
     at = at.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place_of)).otherwise(F.array().cast("array<double>")))
     at = at.withColumn("taken", F.col("size") * F.col("copies")).withColumn("position", F.get("positions", F.lit(0)))
     # Documents that aren't taken follow the others, spread by their hash, so that no range holds them all.
     at = at.withColumn("place", F.coalesce("position", 3 + F.col("h") / F.lit(2.0**63)))
-    at = at.drop("segments", "weight", "source_no", "bits", "full", "before")
+    at = at.drop("segments", "weight", "source_no", "bits", "full", "before", "small", "rest", "take")
     return at.repartitionByRange("place", "h").sortWithinPartitions("place", "h").drop("place", "h")
 
 
@@ -197,7 +221,7 @@ def sequence(docs: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, se
     """
     row = F.struct(*[docs[c] for c in docs.columns])
     keyed = lambda d: F.concat_ws("|", F.coalesce(d["doc_id"].cast("string"), F.lit("")), F.xxhash64(d["doc_id"], d["source"], d["text"]))
-    slim = cut(docs.select(keyed(docs).alias("key"), *[c for c in sizes(docs).columns if c != "size"], F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size")))
+    slim = cut(sizes(docs.select(keyed(docs).alias("key"), "doc_id", "source", "text"), "key"))
     placed = place(slim, plan, max_epochs, seed).where("copies > 0").select("key", F.explode("positions").alias("place"))
     # Rows of one key are alike: each takes as many of its places as there are rows, in turn.
     shares = placed.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))

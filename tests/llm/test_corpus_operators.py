@@ -102,6 +102,28 @@ def test_mix(docs, rows):
     same([(r.doc_id, r["size"], r.taken, r.position) for r in again], [(r.doc_id, r["size"], r.taken, r.position) for r in found])
 
 
+def test_mix_meets_targets_beside_large_documents(spark):
+    """Few documents of a large part of their source: the small ones fill what those leave."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(9):
+        for i in range(400):
+            n = rng.randint(200, 700) if i % 40 == 0 else rng.randint(1, 12)
+            rows.append((None if i % 7 == 0 else len(rows), "w " * n, f"s{k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert len(r.positions) == r.copies and list(r.positions) == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions)
+    assert len(target) == 9 and all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+    # Neither kind of document is preferred where a part of the source is taken.
+    part = [r for r in found if r.target < 0.8 * r.source_size]
+    rate = lambda rs: sum(r.taken for r in rs) / sum(r["size"] for r in rs)
+    assert part and abs(rate([r for r in part if r["size"] > 100]) - rate([r for r in part if r["size"] <= 100])) < 0.25
+
+
 def test_sequence_takes_what_mix_says(docs):
     taken = Counter()
     for r in mixing.mix(docs).collect():
