@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,20 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, one of this application's own in that which ``spark.checkpoint.dir`` names.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    Only on one machine (master local), as in tests, may that be unset; then a
+    temporary folder takes its place. clean() removes it.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark.sparkContext, "_own_checkpoint_dir", None)
-        if where is None:
+    context = spark.sparkContext
+    where = getattr(context, "_refsift_dir", None)
+    if where is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             where = "file://" + tempfile.mkdtemp(prefix="refsift-")
-            spark.sparkContext._own_checkpoint_dir = where
+        where = context._refsift_dir = f"{where.rstrip('/')}/refsift-{context.applicationId}"
     return where
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what operators wrote for themselves in this application; for callers that have read all results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df reliably in the shared folder and cut its lineage."""
     context = df.sparkSession.sparkContext._jsc.sc()
@@ -45,7 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def long_rows(spark: SparkSession) -> SparkSession:
-    """Let Arrow batches hold fewer rows, since texts are long: BATCH_ROWS, unless the session says otherwise than by default."""
+    """Let Arrow batches hold fewer rows, since texts are long: BATCH_ROWS, unless the session says otherwise than by default.
+
+    Spark has no such option for a single plan, and plans run after the operator has returned, so the session keeps the setting.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
@@ -53,7 +66,11 @@ def long_rows(spark: SparkSession) -> SparkSession:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner find that jobs which have ended need their shuffle files no more."""
+    """Let Spark's cleaner find that jobs which have ended need their shuffle files no more.
+
+    It notices only when the driver's garbage is collected, which an idle driver rarely does; texts that were shuffled would
+    stay on the executors' disks meanwhile. Costs a fraction of a second; results don't depend on it.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

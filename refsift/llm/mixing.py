@@ -217,7 +217,8 @@ def sequence(docs: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, se
 
     A row is known by its doc_id, its source and a hash of its text, so rows
     that repeat all three share what is taken of them all. Documents without a
-    word are taken like others.
+    word, null texts among them, are taken like others; a null source is a source
+    of its own. An empty table gives an empty result. Columns may have any names.
     """
     row = F.struct(*[docs[c] for c in docs.columns])
     keyed = lambda d: F.concat_ws("|", F.coalesce(d["doc_id"].cast("string"), F.lit("")), F.xxhash64(d["doc_id"], d["source"], d["text"]))

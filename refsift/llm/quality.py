@@ -120,7 +120,8 @@ def learn(measured: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     ).collect()
     at = np.array([[r[f] for f in FEATURES] for r in cells])
     bad, good = (np.array([[r[f"c{q}0"], r[f"c{q}1"]] for r in cells], float) for q in (0, 1))
-    return _eased(rows, _cover(at, bad, good, cuts))
+    rules = _cover(at, bad, good, cuts)
+    return _proven(rows.where(back), rules, _eased(rows, rules))
 
 
 def _eased(rows: DataFrame, rules: list[list[Condition]]) -> list[list[Condition]]:
@@ -136,6 +137,15 @@ def _eased(rows: DataFrame, rules: list[list[Condition]]) -> list[list[Condition
     ]
 
 
+def _proven(held: DataFrame, rules: list[list[Condition]], moved: list[list[Condition]]) -> list[list[Condition]]:
+    """The moved rules that are as sharp as asked for on the rows held back; of others the rule as it was."""
+    if not rules:
+        return rules
+    counts = held.withColumn("rule", verdict(moved)).groupBy("rule").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good")).collect()
+    blunt = {r["rule"] for r in counts if r["bad"] < PRECISION * (r["bad"] + r["good"])}
+    return [rule if k in blunt else new for k, (rule, new) in enumerate(zip(rules, moved), 1)]
+
+
 def _cover(at: np.ndarray, bad: np.ndarray, good: np.ndarray, cuts: dict) -> list[list[Condition]]:
     """Sequential covering over cells: bins, and counts of bad and good rows, for growing and held back."""
     tests = [(i, above, j, Condition(f, above, float(c))) for i, f in enumerate(FEATURES) for j, c in enumerate(cuts[f]) for above in (True, False)]
@@ -214,7 +224,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all columns; texts are measured once and written with their measures."""
+    """The rows of docs that judge() keeps, with all columns; texts are measured once and written with their measures.
+
+    A null or empty text fails the base test and goes. Repeated rows stay or go together. Without labels, or without
+    documents, only the base test decides; an empty table gives an empty result. Columns may have any names.
+    """
     rows = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), measures(F.col("text")).alias("m")), "measured")
     rules = learn(rows.select(F.col("row.doc_id").alias("doc_id"), "m"), labels)
     found = rows.select("row", base_failed(F.col("m")).alias("_failed"), *features(F.col("m")))

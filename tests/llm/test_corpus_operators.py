@@ -553,7 +553,30 @@ def test_pivot_bound_loses_no_link():
 
 
 def test_shared_dir_is_the_clusters(spark):
+    from types import SimpleNamespace as N
+
     assert shared_dir(spark)
+    away = lambda master, where: N(conf=N(get=lambda k, d: where), sparkContext=N(master=master, applicationId="app-1"))
+    assert shared_dir(away("spark://h:7077", "hdfs://n/check/")) == "hdfs://n/check/refsift-app-1" == shared_dir(away("local[2]", "hdfs://n/check"))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(away(master, None))
+
+
+def test_clean_deletes_what_operators_wrote(spark):
+    from refsift.llm.common import clean, stored
+
+    path = stored(spark.range(3), "rows").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    clean(spark)
+    assert not os.path.exists(path)
+
+
+def test_moved_rules_are_proven(spark):
+    """A threshold that was moved into good rows held back is put back."""
+    old, new = [quality.Condition("symbol_rate", True, 5.0)], [quality.Condition("symbol_rate", True, 1.0)]
+    held = spark.createDataFrame([(i, 0, 6.0) for i in range(20)] + [(90 + i, 1, 3.0) for i in range(5)], "doc_id long, quality int, symbol_rate double")
+    assert quality._proven(held, [old], [new]) == [old] and quality._proven(held.where("quality = 0"), [old], [new]) == [new]
 
 
 def test_very_long_texts(spark):
