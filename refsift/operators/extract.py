@@ -108,7 +108,7 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def first_by_key(citations: DataFrame) -> DataFrame:
-    """The first citation of each key in a document, by line and place."""
+    """The first citation of each key in a document, by line and place, then by what is written, so that reruns agree."""
     key = c.cite_key("kind", "identifier", "raw", "claimed_title")
-    first = Window.partitionBy("doc_id", "cite_key").orderBy("line", "pos")
+    first = Window.partitionBy("doc_id", "cite_key").orderBy("line", "pos", *[n for n in ("raw", "context") if n in citations.columns])
     return citations.withColumn("cite_key", key).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "cite_key")

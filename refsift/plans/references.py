@@ -90,7 +90,18 @@ def q17(spark, sf_dir):
     return rows.select("*", is_title("span").alias("title_ok"), is_author_list("span").alias("list_ok"), is_personal_name("span").alias("name_ok"))
 
 
-@query("q57_extract", None)
+# What the made-up documents cite, written down once more: a DOI that comes twice, an arXiv id, a link and a reference without an identifier.
+_PARTS = ("parts", """SELECT l.l_orderkey * 10 + l.l_linenumber AS doc_id, l.l_linenumber AS n, cast(1000 + l.l_partkey % 9000 AS varchar) || '/' AS prefix, cast(l.l_partkey AS varchar) AS part,
+    cast(1000 + l.l_suppkey % 9000 AS varchar) || '.' || lpad(cast(l.l_partkey % 100000 AS varchar), 5, '0') || 'v2' AS arxiv, 'http://host' || cast(l.l_suppkey AS varchar) || '.example.org/a' AS link,
+    1990 + l.l_suppkey % 30 AS year, 'A study of ' || p.p_name || ' and its kin' AS title FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""")
+_REFERENCE = ("refs", "SELECT *, 'Smith' || cast(n AS varchar) || ', J. K. and Jones, A. (' || cast(year AS varchar) || '). ' || title || '. Journal.' AS body, 'See doi:10.' || prefix || 'W.' || part || '). Again https://doi.org/10.' || prefix || 'w.' || part AS one, 'Also arXiv:' || arxiv || ', and ' || link || ';' AS two FROM parts")
+
+
+@query("q57_extract", with_(_PARTS, _REFERENCE) + """
+    SELECT * FROM (SELECT doc_id, 'doi:10.' || prefix || 'W.' || part || ').' AS raw, 'doi' AS kind, 1 AS line, 0 AS pos, '10.' || prefix || 'w.' || part AS identifier, NULL AS claimed_title, '' AS claimed_authors, CAST(NULL AS int) AS claimed_year, one AS context, CAST(NULL AS int) AS ref_number FROM refs
+    UNION ALL SELECT doc_id, 'arXiv:' || arxiv, 'arxiv', 2, 0, arxiv, NULL, '', NULL, two, NULL FROM refs UNION ALL SELECT doc_id, link, 'url', 2, 1, link, NULL, '', NULL, two, NULL FROM refs
+    UNION ALL SELECT doc_id, body, 'bibliographic', 5, 0, NULL, title, 'Jones', CAST(year AS int), body, CAST(n AS int) FROM refs)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, kind, lower(coalesce(identifier, raw)), lower(coalesce(claimed_title, '')) ORDER BY line, pos, raw, context) = 1""")
 def q57(spark, sf_dir):
     """All citations of all documents, with what is claimed of them."""
     return extract.extract(docs(spark, sf_dir)).withColumn("claimed_authors", F.array_join("claimed_authors", "; "))
@@ -187,7 +198,8 @@ def containing(documents: DataFrame, passages: DataFrame, words: int = 4) -> Dat
     # The keys of a benchmark select few runs of the documents; Spark broadcasts them where they are small.
     asked = documents.select("doc_id", F.explode(F.array_distinct(runs(split(F.col("text"))))).alias("gram"))
     short = split_up.where(~enough).select("item_id", F.col("text").alias("quote"))
-    direct = documents.join(F.broadcast(short), F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
+    # Spark broadcasts the short ones where they are few, and pairs partitions where they are many.
+    direct = documents.join(short, F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
     return asked.join(key, "gram").select("doc_id", "item_id").unionByName(direct).distinct()
 
 
