@@ -30,12 +30,13 @@ def bibitems(sources: DataFrame) -> DataFrame:
 
 
 def bibtex(sources: DataFrame) -> DataFrame:
-    """doc_id, pos, title, author (the first's), year, doi and entry (a reference string) of BibTeX entries with a title of MIN_TITLE characters."""
+    """doc_id, pos, title, author (the first's), year, doi, journal and entry (a reference string) of BibTeX entries with a title of MIN_TITLE characters."""
     body = F.transform(F.slice(F.split("text", r"@[A-Za-z]+\s*\{"), 2, 1 << 30), lambda x: x)
     rows = sources.select("doc_id", F.posexplode(body).alias("pos", "raw"))
     field = lambda name: F.nullif(c.latex_entry(F.regexp_extract("raw", rf'(?is)\b{name}\s*=\s*[{{"](.*?)[}}"]\s*(?:,|\n|\}}|$)', 1)), F.lit(""))
-    out = rows.select("doc_id", (F.col("pos") + 1).alias("pos"), field("title").alias("title"), F.split(field("author"), r"\s+and\s+")[0].alias("author"), field("year").alias("year"), field("doi").alias("doi"))
-    entry = F.concat_ws(" ", F.concat("author", F.lit(".")), F.concat(F.lit('"'), "title", F.lit('."')), F.concat(F.lit("("), "year", F.lit(").")), F.concat(F.lit("doi:"), "doi"))
+    out = rows.select("doc_id", (F.col("pos") + 1).alias("pos"), field("title").alias("title"), F.split(field("author"), r"\s+and\s+")[0].alias("author"), field("year").alias("year"), field("doi").alias("doi"), field("journal").alias("journal"))
+    quoted = lambda left, name, right="": F.concat(F.lit(left), name, F.lit(right))
+    entry = F.concat_ws(" ", "author", quoted("(", "year", ")"), quoted('"', "title", '"'), "journal", quoted("doi:", "doi"))
     return out.where(F.length("title") >= MIN_TITLE).withColumn("entry", entry)
 
 

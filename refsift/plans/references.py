@@ -152,10 +152,15 @@ def q21(spark, sf_dir):
     return met.withColumn("nth", F.row_number().over(rank)).where("nth <= 2").select("claim_id", "work_id", "similarity", "nth")
 
 
-@query("q25_quote_extract", """WITH q AS (SELECT d.doc_id, unnest(regexp_extract_all(d.text, '"([^"]{40,600})"', 1)) AS raw FROM documents d),
+# Texts of documents, and after each a quotation of its first words.
+_QUOTING = ("quoting", "SELECT d.doc_id, d.text || chr(10) || 'It says \"' || substring(regexp_replace(d.text, '[^A-Za-z]+', ' '{all}), 1, 90 + d.doc_id % 50) || '\" there.' AS text FROM documents d WHERE d.text IS NOT NULL")
+_QUOTING_SPARK, _QUOTING_DUCK = ((_QUOTING[0], _QUOTING[1].replace("{all}", x)) for x in ("", ", 'g'"))
+
+
+@query("q25_quote_extract", with_(_QUOTING_DUCK) + """, q AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{40,600})"', 1)) AS raw FROM quoting),
     t AS (SELECT doc_id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS text FROM q) SELECT doc_id, text FROM t WHERE len(string_split(text, ' ')) >= 8""")
 def q25(spark, sf_dir):
-    return quotes.quotes(sql(spark, sf_dir, "SELECT d.doc_id, d.text FROM documents d")).select("doc_id", "text")
+    return quotes.quotes(sql(spark, sf_dir, with_(_QUOTING_SPARK) + "SELECT * FROM quoting")).select("doc_id", "text")
 
 
 _QUOTED = ("quoted", """SELECT o.o_orderkey AS doc_id, 'Intro line.' || chr(10) || 'It says "one two three four five six seven eight nine ten ' || cast(o.o_orderkey AS string) || '" [' || cast(1 + o.o_orderkey % 2 AS string) || '] and' || chr(10) || 'then goes on.' AS text FROM orders o""")
@@ -257,13 +262,14 @@ def q35(spark, sf_dir):
     return corpora.wiki_references(sql(spark, sf_dir, with_(_WIKI) + "SELECT * FROM wiki")).drop("pos", "arxiv")
 
 
-_BIBTEX = ("bib", """SELECT p.p_partkey AS doc_id, '@article{key' || cast(p.p_partkey AS string) || ',' || chr(10) || '  title = {The {Great} ' || p.p_name || ' of things},' || chr(10) || '  author = {Smith, Jane and Doe, John},' || chr(10)
+_BIBTEX = ("bib", """SELECT p.p_partkey AS doc_id, '@article{key' || cast(p.p_partkey AS string) || ',' || chr(10) || '  title = {The {Great} ' || p.p_name || ' of things},' || chr(10) || '  author = {Smith, Jane and Doe, John},' || chr(10) || CASE WHEN p.p_partkey % 2 = 0 THEN '  journal = {Journal of Things},' || chr(10) ELSE '' END
     || '  year = {' || cast(1990 + p.p_size % 30 AS string) || '},' || chr(10) || '  doi = {10.1000/x.' || cast(p.p_partkey AS string) || '}' || chr(10) || '}' AS text, p.p_name AS name, 1990 + p.p_size % 30 AS year FROM part p""")
 
 
-@query("q36_bibtex", with_(_BIBTEX) + """SELECT doc_id, 'Smith, Jane' AS author, cast(year AS string) AS year, '10.1000/x.' || cast(doc_id AS string) AS doi FROM bib""")
+@query("q36_bibtex", with_(_BIBTEX) + """SELECT doc_id, 'The Great ' || name || ' of things' AS title, 'Smith, Jane' AS author, cast(year AS string) AS year, '10.1000/x.' || cast(doc_id AS string) AS doi,
+    'Smith, Jane (' || cast(year AS string) || ') "The Great ' || name || ' of things"' || CASE WHEN doc_id % 2 = 0 THEN ' Journal of Things' ELSE '' END || ' doi:10.1000/x.' || cast(doc_id AS string) AS entry FROM bib""")
 def q36(spark, sf_dir):
-    return corpora.bibtex(sql(spark, sf_dir, with_(_BIBTEX) + "SELECT doc_id, text FROM bib")).select("doc_id", "author", "year", "doi")
+    return corpora.bibtex(sql(spark, sf_dir, with_(_BIBTEX) + "SELECT doc_id, text FROM bib")).select("doc_id", "title", "author", "year", "doi", "entry")
 
 
 _BBL = ("bbl", r"""SELECT p.p_partkey AS doc_id, '\\begin{thebibliography}{9}' || chr(10) || '\\bibitem{a} A. Author. \\emph{On ' || p.p_name || ' in general}. 2001~a.' || chr(10) || '\\bibitem[x]{b} B. Author. \\textbf{More on ' || p.p_type || ' and such}. 2002.' || chr(10) || '\\end{thebibliography}' AS text,
