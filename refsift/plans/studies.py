@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import corpora, extract
 from ..schema import is_failure, is_inconclusive
+from ..sources import samples
 from .evidence import _wilson_sql, findings
 from .registry import CITES, WORKS, both, query, sql, with_
 
@@ -105,6 +106,52 @@ def q61(spark, sf_dir):
     return usable_references(works.withColumn("doi", F.col("doi").cast("string"))).select("source", "ref_doi", "author", "year")
 
 
+# Works without a DOI, of all years, some without authors; the draws are by hash, in both engines.
+_RECORDS = ("records", """SELECT CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE '10.1/w' || cast(p.p_partkey AS string) END AS doi, p.p_name || ' ' || p.p_type AS title, 1990 + p.p_size % 30 AS year, p.p_partkey % 3 AS k FROM part p""")
+_BY_HASH = "ORDER BY md5('42:' || {key}), {key}"
+
+
+@query("q64_sample_works", with_(_RECORDS) + f"SELECT doi, cast(year AS int) AS year FROM records WHERE doi IS NOT NULL AND year BETWEEN 1995 AND 2005 {_BY_HASH.format(key='doi')} LIMIT 50")
+def q64(spark, sf_dir):
+    return samples.works(sql(spark, sf_dir, with_(_RECORDS) + "SELECT doi, cast(year AS int) AS year FROM records"), 50, (1995, 2005))
+
+
+@query("q65_calibration_sample", with_(_RECORDS, ("r", f"""SELECT doi, title, cast(year AS int) AS year, row_number() OVER (PARTITION BY CASE WHEN year < 2000 THEN 0 WHEN year < 2010 THEN 1 ELSE 2 END {_BY_HASH.format(key='doi')}) AS nth
+    FROM records WHERE doi IS NOT NULL AND length(title) >= 20 AND k > 0""")) + "SELECT doi, title, year FROM r WHERE nth <= 20")
+def q65(spark, sf_dir):
+    rows = sql(spark, sf_dir, with_(_RECORDS) + "SELECT doi, title, cast(year AS int) AS year, CASE WHEN k > 0 THEN array('A') ELSE array() END AS authors FROM records")
+    return samples.calibration_works(rows, 60, [(1990, 1999), (2000, 2009), (2010, 2019)]).select("doi", "title", "year")
+
+
+_DATED = ("dated", "SELECT cast(o.o_orderkey AS string) AS arxiv_id, o.o_orderpriority AS category, substring(cast(o.o_orderdate AS string), 1, 10) AS published FROM orders o")
+
+
+@query("q66_newest_preprints", with_(_DATED, ("once", "SELECT * FROM dated QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY category, published) = 1")) + """
+    SELECT arxiv_id, category, published FROM once QUALIFY row_number() OVER (PARTITION BY category ORDER BY published DESC, arxiv_id) <= 5""")
+def q66(spark, sf_dir):
+    return samples.newest_preprints(sql(spark, sf_dir, with_(_DATED) + "SELECT * FROM dated"), 5)
+
+
+@query("q67_sample_articles", f"SELECT cast(d.doc_id AS string) AS title, strlen(d.text) AS bytes FROM documents d WHERE strlen(d.text) >= 8000 {_BY_HASH.format(key='cast(d.doc_id AS string)')} LIMIT 40")
+def q67(spark, sf_dir):
+    return samples.articles(sql(spark, sf_dir, "SELECT cast(d.doc_id AS string) AS title, d.text FROM documents d"), 40).select("title", F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("q68_preprints_of_index", f"""WITH i AS (SELECT cast(p.p_partkey AS string) AS arxiv_id FROM part p WHERE p.p_partkey % 2 = 0) SELECT arxiv_id FROM i {_BY_HASH.format(key='arxiv_id')} LIMIT 30""")
+def q68(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT CASE WHEN p.p_partkey % 2 = 0 THEN '10.48550/arXiv.' ELSE '10.1/' END || cast(p.p_partkey AS string) AS doi FROM part p")
+    return samples.preprints_of_index(rows, 30)
+
+
+@query("q69_source_works", f"""WITH w AS (SELECT '10.1/' || cast(o.o_orderkey AS string) AS doi, o.o_orderkey % 5 AS year, o.o_orderkey % 4 AS n FROM orders o),
+    u AS (SELECT DISTINCT doi, year FROM w WHERE n > 0) SELECT doi, cast(year AS int) AS year FROM u QUALIFY row_number() OVER (PARTITION BY year {_BY_HASH.format(key='doi')}) <= 3""")
+def q69(spark, sf_dir):
+    """Of works those with a usable reference, three a year."""
+    ref = F.struct(F.when(F.col("n") > 0, F.lit("10.1/r")).alias("doi"), F.lit("A title that is long enough").alias("title"))
+    rows = sql(spark, sf_dir, "SELECT '10.1/' || cast(o.o_orderkey AS string) AS doi, cast(o.o_orderkey % 5 AS int) AS year, o.o_orderkey % 4 AS n FROM orders o")
+    return samples.source_works(rows.select("doi", "year", F.array(ref).alias("refs")), 3).select("doi", "year")
+
+
 both("q62_quote_summary", """
     WITH q AS (SELECT d.source AS document, CASE WHEN d.doc_id % 7 = 0 THEN 'found' WHEN d.doc_id % 7 = 1 THEN 'not_found' WHEN d.doc_id % 7 < 4 THEN 'absent_from_abstract' ELSE 'source_unavailable' END AS verdict FROM documents d)
     SELECT document, count(*) AS total, cast(sum(CASE WHEN verdict = 'found' THEN 1 ELSE 0 END) AS bigint) AS found, cast(sum(CASE WHEN verdict = 'not_found' THEN 1 ELSE 0 END) AS bigint) AS not_found,

@@ -16,13 +16,17 @@ def started_completed(events: DataFrame, late: str = "1 hour", every: str = "1 d
 
 
 def accumulate(checks: DataFrame, path: str, checkpoint: str, key: str = "arxiv_id"):
-    """Append checks of papers that the table at path lacks, batch by batch."""
+    """Add checks of papers that the table at path lacks, batch by batch.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    A batch has a folder of its own, which a retry replaces, so one that failed half-way leaves nothing behind and loses nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            batch = batch.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-        batch.write.mode("append").parquet(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            before = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, batch long").parquet(path).where(F.col("batch") != number)
+            batch = batch.join(before.select(key).distinct(), key, "left_anti")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return checks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -76,6 +76,27 @@ def test_command(spark, verifier, tmp_path, capsys, monkeypatch):
     assert e.value.code == 0
 
 
+def test_build_step(spark, verifier, tmp_path):
+    from refsift import ci
+
+    (tmp_path / "a.md").write_text(TEXT)
+    verifier.first.write.parquet(str(tmp_path / "first"))
+    out = tmp_path / "out"
+    env = {"INPUT_FILES": str(tmp_path / "*.md"), "INPUT_FIRST": str(tmp_path / "first"), "GITHUB_OUTPUT": str(out)}
+    assert ci.main(env) == 1 and ci.main({"INPUT_FILES": "--strict"}) == 2 and ci.main({}) == 2
+    got = dict(line.split("=") for line in out.read_text().split())
+    assert set(got) == {"total", "failures", "score"} and got["failures"] == "1" and got["score"] == "50.0"
+    assert ci.arguments(["x"], {"INPUT_STRICT": "True", "INPUT_FAIL_UNDER": "80"}) == ["x", "--fail-under", "80", "--strict"]
+
+
+def test_functions_in_sql(spark):
+    from refsift.functions import udfs
+
+    udfs.register(spark)
+    row = spark.sql("SELECT title_similarity('Deep Learning', 'learning deep') AS s, normalise_title('Café: x') AS n, author_overlap(array('Müller'), array('Jan Muller')) AS o").first()
+    assert tuple(row) == (100.0, "cafe x", 1.0)
+
+
 def test_word_file(spark, tmp_path):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>doi:10.1000/</w:t></w:r><w:r><w:t>right</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
