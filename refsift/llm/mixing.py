@@ -152,7 +152,7 @@ def mix(docs: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed: i
     rest of the target is met in a hashed order by large documents, those of more
     than a LARGE-th of the target, in proportion to their part of the source, and then
     by the others, which fill what the large ones leave. So what is taken differs from the target by at most
-    half a document of a LARGE-th of it, unless large ones are all that is left. Null
+    half a document of a LARGE-th of it, unless large ones are all that is left; then one more of these comes as near as it can. Null
     texts and blank ones have size 0: they are taken as often as a document at
     their place. A null source is a source of its own, after all others.
     Repeated rows are taken like different documents. An empty table gives an
@@ -176,9 +176,13 @@ def _shares(at: DataFrame, max_epochs: float, few) -> DataFrame:
     miss = lambda x: F.greatest(x - F.col("rest"), F.col("rest") - x - F.col("small"), F.lit(0.0))
     take = ends.select("source_no", F.when(miss(F.col("b")) < miss(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("take"))
     at = at.join(few(take), "source_no", "left").withColumn("take", F.coalesce("take", F.lit(0)))
-    more = F.when(large, end <= F.col("take")).otherwise(F.col("before") + F.col("size") / 2 <= F.col("rest") - F.col("take"))
+    # Where all others are taken and words are still lacking, the large document that comes nearest to what is lacking.
+    lacking = F.col("rest") - F.col("take") - F.col("small")
+    nearest = at.where(large & (end > F.col("take")) & (F.abs(F.col("size") - lacking) < lacking)).groupBy("source_no").agg(F.min(F.struct(F.abs(F.col("size") - lacking), "before")).alias("n"))
+    at = at.join(few(nearest.select("source_no", F.col("n.before").alias("fill"))), "source_no", "left")
+    more = F.when(large, (end <= F.col("take")) | F.coalesce(F.col("before") == F.col("fill"), F.lit(False))).otherwise(F.col("before") + F.col("size") / 2 <= F.col("rest") - F.col("take"))
     more = more & (F.col("full") < max_epochs) & (F.col("source_size") > 0)
-    return at.withColumn("copies", F.col("full") + more.cast("int"))
+    return at.withColumn("copies", F.col("full") + more.cast("int")).drop("fill")
 
 
 def place(slim: DataFrame, plan=schedules, max_epochs: float = MAX_EPOCHS, seed: int = 0) -> DataFrame:
