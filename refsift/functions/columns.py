@@ -104,6 +104,7 @@ def squeeze(text) -> Column:
 
 def html_text(html) -> Column:
     """Text of a page: scripts and styles dropped, block ends as line feeds, other tags as spaces; entities stay."""
+    # Elements without text, and those that end a line.
     out = F.regexp_replace(col(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</p>|</div>|</li>", "\n")
     return F.regexp_replace(out, r"<[^>]+>", " ")
@@ -126,6 +127,7 @@ def latex_entry(text) -> Column:
 
 def latex_text(text) -> Column:
     """The prose of a LaTeX source, without comments and environments that hold none."""
+    # Environments without prose, and commands whose argument is prose.
     out = F.regexp_replace(col(text), r"(?m)(?<!\\)%.*$", " ")
     out = F.regexp_replace(out, r"(?s)\\begin\{(equation|align|figure|table|tabular|thebibliography|lstlisting|verbatim)\*?\}.*?\\end\{\1\*?\}", " ")
     for _ in range(3):
@@ -136,6 +138,7 @@ def latex_text(text) -> Column:
 
 def wiki_text(text) -> Column:
     """Wikitext with links as their labels and without markup."""
+    # The markup that goes.
     return squeeze(F.regexp_replace(links_resolved(text), r"'''|''|<[^>]+>", ""))
 
 
