@@ -102,8 +102,10 @@ _STATUS = "CASE WHEN p.page_id % 11 = 0 THEN 'unreachable' WHEN p.page_id % 7 =
 @query("q08_url_status", f"SELECT regexp_extract(p.url, '^https?://([^/]+)', 1) AS host, CASE {_STATUS} WHEN 'hit' THEN 'verified' WHEN 'miss' THEN 'not_found' ELSE 'unreachable' END AS verdict, count(*) AS n FROM pages p GROUP BY 1, 2")
 def q08(spark, sf_dir):
     pages = sql(spark, sf_dir, "SELECT p.page_id, p.url FROM pages p")
-    status = sql(spark, sf_dir, f"SELECT p.url, {_STATUS} AS status FROM pages p").dropDuplicates(["url"])
-    rows = pages.join(status, "url", "left").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), verify.url_verdict("status").alias("verdict"))
+    # A page's status is that of its own visit: pages of one URL may differ.
+    status = sql(spark, sf_dir, f"SELECT DISTINCT p.page_id AS visit, p.url AS visited, {_STATUS} AS status FROM pages p")
+    same = F.col("page_id").eqNullSafe(F.col("visit")) & F.col("url").eqNullSafe(F.col("visited"))
+    rows = pages.join(status, same, "left").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), verify.url_verdict("status").alias("verdict"))
     return rows.groupBy("host", "verdict").agg(F.count("*").alias("n"))
 
 

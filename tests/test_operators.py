@@ -317,3 +317,16 @@ def test_fuzzy_passages_are_those_of_brute_force(spark):
     want = {(i, j): s for i, x in enumerate(texts) for j, q in items if (s := t.find_passage(q, x)[0]) >= 88}
     assert {(r.doc_id, r.item_id): r.similarity for r in got} == want and len(got) == len(want)
     assert {(i, 1) for i in range(len(edited) + 2)} <= set(want)
+
+
+def test_pages_of_one_url_keep_their_own_status(spark, tmp_path):
+    """URLs that come more than once, pages without a URL or a number, and a row that comes twice."""
+    import duckdb
+
+    from refsift.queries import ORACLES, QUERIES
+
+    rows = [(7, "http://a.example/x"), (8, "http://a.example/x"), (11, "http://a.example/x"), (11, None), (None, "http://a.example/x"), (14, "no url"), (14, "no url"), (1, None)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.connect().sql(ORACLES["q08_url_status"].replace("pages p", f"'{tmp_path}/pages.parquet/*.parquet' p")).fetchall()
+    got = QUERIES["q08_url_status"](spark, str(tmp_path)).select("host", "verdict", "n").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
