@@ -330,3 +330,12 @@ def test_pages_of_one_url_keep_their_own_status(spark, tmp_path):
     want = duckdb.connect().sql(ORACLES["q08_url_status"].replace("pages p", f"'{tmp_path}/pages.parquet/*.parquet' p")).fetchall()
     got = QUERIES["q08_url_status"](spark, str(tmp_path)).select("host", "verdict", "n").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_pairs_of_blocks_are_not_written(spark, monkeypatch):
+    """Blocks of claims and of works meet in a product of partitions, and no shuffle follows it."""
+    monkeypatch.setattr(titles, "WORKS", 40)
+    works = spark.createDataFrame(common_titles(), "work_id long, title string")
+    plan = titles.nearest(works.toDF("claim_id", "claimed_title"), works, 2, 92.0)._jdf.queryExecution().executedPlan().toString()
+    head = plan[: plan.index("CartesianProduct")]
+    assert "MapInArrow" in head and "Exchange" not in head
\ No newline at end of file
