@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from refsift.functions import columns as c
 from refsift.functions import text as t
 from refsift.functions import titles as spans_of
+from refsift.functions.udfs import author_overlap
 from refsift.operators import corpora, extract, quotes, titles, verify
 from refsift.plans import calibration, decisions, references
 from refsift.plans.evidence import summary
@@ -332,6 +333,21 @@ def test_pages_of_one_url_keep_their_own_status(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_search_is_first_plausible_of_all_candidates(spark, monkeypatch):
+    """Over several blocks, with copies of titles, names that agree, some that don't, and none."""
+    monkeypatch.setattr(titles, "WORKS", 40)
+    monkeypatch.setattr(titles, "CLAIMS", 3)
+    names = [["Smith"], ["Jones", "Smíth"], [], None, ["Other"]]
+    works = spark.createDataFrame([(i, name, names[i % 5]) for i, name in common_titles()], "work_id long, title string, authors array<string>")
+    asked = ["Smal red ring of steels", "blue bolts of brass", "SMALL RED RING OF STEEL", "gear of brass red", "short", "nothing at all alike here", "redd riing off steeel", None, "small red gear of tin and of brass and of steel " * 3]
+    rows = [(2 * i + k, name, who) for i, name in enumerate(asked) for k, who in enumerate((["smith", "Nobody"], None))]
+    claims = spark.createDataFrame(rows, "claim_id long, claimed_title string, claimed_authors array<string>")
+    scored = verify.candidates(claims, works).join(claims.select("claim_id", "claimed_authors"), "claim_id").join(works.select("work_id", "authors"), "work_id")
+    want = verify.first_plausible(scored.withColumn("overlap", author_overlap("claimed_authors", "authors"))).collect()
+    got = verify.search(claims, works).collect()
+    assert len(want) > 6 and any(r.accepted is None for r in want) and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_pairs_of_blocks_are_not_written(spark, monkeypatch):
     """Blocks of claims and of works meet in a product of partitions, and no shuffle follows it."""
     monkeypatch.setattr(titles, "WORKS", 40)
