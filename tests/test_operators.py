@@ -320,6 +320,75 @@ def test_fuzzy_passages_are_those_of_brute_force(spark):
     assert {(i, 1) for i in range(len(edited) + 2)} <= set(want)
 
 
+def test_passages_held_are_those_of_brute_force():
+    """Random edits of all kinds, up to and beyond the bound, in texts of the same few syllables; long and short passages, texts shorter than a passage."""
+    import random
+
+    from refsift.functions.passages import Passages
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("th er on in re an ha ou ti a".split()) for _ in range(rng.randrange(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (1, 2, 4, 9, 14, 25)] + ["", None, "Ångström ñ_1", "a b c d e f g h i j k l m n o"]
+
+    def edited(text, share, kinds):
+        out = []
+        for c in text:
+            kind = rng.choice(kinds) if rng.random() < share else "keep"
+            out += {"keep": [c], "drop": [], "put": [c, rng.choice("thxq ")], "swap": [rng.choice("erxq ")]}[kind]
+        return "".join(out)
+
+    texts = [None, "", "a", " ".join("abcdefghijklmno")]
+    for q in filter(None, passages):
+        for share, kinds in ((0, ["drop"]), (0.1, ["swap"]), (0.13, ["swap"]), (0.2, ["drop"]), (0.25, ["put"]), (0.12, ["drop", "put", "swap"])):
+            near = edited(q, share, kinds)
+            texts += [near, near[: len(near) * 5 // 6], near + " " + prose(12), prose(12) + ", " + near.upper() + prose(6)]
+    scores = {(i, j): t.find_passage(q, x)[0] for i, x in enumerate(texts) for j, q in enumerate(passages)}
+    held = 0
+    for least in (88.0, 70.0, 100.0):
+        got = list(Passages(passages, least).held(texts))
+        want = {pair: s for pair, s in scores.items() if s >= least}
+        assert {(i, j): s for i, j, s in got} == want and len(got) == len(want)
+        held += sum(s < 100 for s in want.values())
+    assert held > 100
+
+
+def test_passages_are_compared_where_they_share_runs(monkeypatch):
+    """Of all blocks of passages at all places of texts of the same syllables, few are compared by edits."""
+    import random
+
+    from refsift.functions.passages import Passages
+
+    rng = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(n))
+    passages, texts, cells = [prose(40) for _ in range(20)], [prose(600) for _ in range(10)], []
+    texts[3] = prose(50) + passages[7].replace("a", "e", 9) + prose(50)
+    nearest = Passages._nearest
+
+    def counted(self, *args):
+        cells.append(args[-1].size * (1 if len(args) > 1 else len(self.size)))
+        return nearest(self, *args)
+
+    monkeypatch.setattr(Passages, "_nearest", counted)
+    searched = Passages(passages, 88.0)
+    assert [(i, j) for i, j, _ in searched.held(texts)] == [(3, 7)]
+    assert sum(cells) < 0.1 * sum(map(len, texts)) * len(searched.size)
+
+
+def test_passages_by_id_are_looked_for_in_all_documents(spark, tmp_path):
+    from refsift.queries import QUERIES
+
+    passage = "several earlier reports had been written without any regard for evidence"
+    items = [(0, passage), (50, "a wholly different passage of other words, that nobody quotes"), (51, passage), (100, passage.replace("earlier", "later")), (None, passage)]
+    docs = [(i, f"In part {i}: " + x + " and so on.") for i, x in enumerate([passage, passage.upper(), passage.replace("earlier", "later"), passage.replace("e", ""), "nothing"])] + [(9, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.verdict) for r in QUERIES["q28_passage_fuzzy"](spark, str(tmp_path)).collect()}
+    want = {(i, j): (s, "found") for i, x in docs for j, q in items if j in (0, 50, 100) and (s := t.find_passage(q, x)[0]) >= 88}
+    assert got == want and {(0, 0), (1, 0), (2, 0), (2, 100)} <= set(want)
+
+
 def test_pages_of_one_url_keep_their_own_status(spark, tmp_path):
     """URLs that come more than once, pages without a URL or a number, and a row that comes twice."""
     import duckdb
